@@ -47,6 +47,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a materialized table that no later plan reads, and let go of the shuffles behind it."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/marginalia/" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores, for a costly step on few input splits; a large input has splits enough and is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
