@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import encoding, linkage, markup, mixing, people, subjects, tokens
+from marginalia.llm import encoding, linkage, markup, mixing, neighbours, people, subjects, tokens
 from marginalia.plans.runtime import table
 
 _FIELDS = [("catalogue_raw", "row_id", "title"), ("catalogue_raw", "row_id", "abstract"), ("refs", "ref_id", "info")]
@@ -29,6 +29,14 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.restore(table(spark, d, "bodies"), "body_id", "body")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.found(table(spark, d, "embedded"))
+
+
+def p3_search(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.searched(table(spark, d, "embedded"))
+
+
 def _clean(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for name, key, column in _FIELDS:
@@ -75,7 +83,7 @@ def p9_posteriors(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_people, p2_found, p2_restored, p5_found, p5_clean, p6_found, p6_links, p7_ids, p8_mix, p8_shares, p9_found, p9_posteriors)
+    f.__name__: f for f in (p1_found, p1_people, p2_found, p2_restored, p3_found, p3_search, p5_found, p5_clean, p6_found, p6_links, p7_ids, p8_mix, p8_shares, p9_found, p9_posteriors)
 }
 
 ORACLES: dict[str, str] = {}
