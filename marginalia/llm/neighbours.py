@@ -310,11 +310,12 @@ def found(embedded: DataFrame, k: int = 5) -> DataFrame:
     return pairs.select(F.least("u", "m").alias("vec_a"), F.greatest("u", "m").alias("vec_b")).distinct()
 
 
-def search(graph: DataFrame, sk: DataFrame, queries: DataFrame, k: int = 5, hops: int = 4, beam: int = 16) -> DataFrame:
+def search(graph: DataFrame, sk: DataFrame, queries: DataFrame, whole: DataFrame, k: int = 5, hops: int = 4, beam: int = 16) -> DataFrame:
     """``(query, rank, vec_id, sim)``: greedy search of the graph for queries ``(id, sketch, codes)``.
 
     A query enters at up to DOORS nodes (by hash) of its cell in each table, a cell
     of some DOORS nodes, and at each hop looks at the neighbours of the beam's nodes.
+    The beam it ends with is measured on the whole vectors ``(id, sketch)``.
     """
     similarity = F.pandas_udf(_pair_similarity, "float")
     depth = min(DEPTH, max(0, int(np.ceil(np.log2(max(1, sk.count() / DOORS))))))
@@ -337,7 +338,11 @@ def search(graph: DataFrame, sk: DataFrame, queries: DataFrame, k: int = 5, hops
         step = nodes.select("query", (-F.col("x")["neg"]).alias("id")).join(graph, "id").select("query", F.explode("cand").alias("c")).select("query", F.col("c")["nb"].alias("nb"))
         old, state = state, materialize(top(nodes.unionByName(measured(step))), "beam")
         discard(old)
-    return state.select("query", F.posexplode(F.slice("beam", 1, k)).alias("rank", "x")).select("query", (F.col("rank") + 1).alias("rank"), (-F.col("x")["neg"]).alias("vec_id"), F.col("x")["sim"].alias("sim"))
+    pairs = state.select("query", F.explode("beam").alias("x")).select("query", (-F.col("x")["neg"]).alias("nb"))
+    ends = pairs.join(whole.select(F.col("id").alias("query"), F.col("sketch").alias("q")), "query").join(whole.select(F.col("id").alias("nb"), "sketch"), "nb")
+    order = Window.partitionBy("query").orderBy(F.desc("sim"), "vec_id")
+    ranked = ends.select("query", F.col("nb").alias("vec_id"), similarity("q", "sketch").alias("sim")).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).select("query", "rank", "vec_id", "sim")
 
 
 def _pair_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -346,5 +351,5 @@ def _pair_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def searched(embedded: DataFrame, every: int = 20, k: int = 5) -> DataFrame:
     """Greedy search over the graph of all vectors for the vectors whose id is divisible by ``every``."""
-    graph, sk, _ = build(collection(embedded))
-    return search(graph, sk, sk.where(F.col("id") % every == 0), k)
+    graph, sk, width = build(collection(embedded))
+    return search(graph, sk, sk.where(F.col("id") % every == 0), whole_bytes(spread(collection(embedded)), width), k)
