@@ -38,12 +38,13 @@ def triplets(dataset: DataFrame, seed: int = 42, rings: int = 16) -> DataFrame:
     pos = own.select("row_id", F.coalesce(F.lead("row_id").over(same), F.first("row_id").over(whole)).alias("positive"))
     ring = rows.withColumn("ring", F.pmod(F.conv(F.substring("h", 1, 4), 16, 10).cast("int"), F.lit(rings)))
     order = Window.partitionBy("ring").orderBy("h", "row_id")
-    # runs of one target in the ring; the negative is where the next run starts, the last run takes the first one's start
+    # runs of one target in the ring; the negative is where the next run starts; the last run takes the first one's
+    # start, or the second one's where the first has its own target
     runs = ring.withColumn("new", (F.coalesce(F.lag("target_id").over(order) != F.col("target_id"), F.lit(True))).cast("int")).withColumn("run", F.sum("new").over(order))
     starts = runs.where("new = 1").select("ring", "run", F.col("row_id").alias("start"), F.col("target_id").alias("start_target"))
-    first = starts.where("run = 1").select("ring", F.col("start").alias("start1"), F.col("start_target").alias("target1"))
+    first = starts.where("run <= 2").groupBy("ring").agg(F.max(F.when(F.col("run") == 1, F.col("start"))).alias("start1"), F.max(F.when(F.col("run") == 1, F.col("start_target"))).alias("target1"), F.max(F.when(F.col("run") == 2, F.col("start"))).alias("start2"))
     neg = runs.join(starts.withColumn("run", F.col("run") - 1), ["ring", "run"], "left").join(first, "ring")
-    neg = neg.select("row_id", F.coalesce("start", F.when(F.col("target1") != F.col("target_id"), F.col("start1"))).alias("negative"))
+    neg = neg.select("row_id", F.coalesce("start", F.when(F.col("target1") != F.col("target_id"), F.col("start1")), "start2").alias("negative"))
     return pos.join(neg, "row_id").select(F.col("row_id").alias("anchor"), "positive", "negative")
 
 

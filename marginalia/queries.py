@@ -414,8 +414,8 @@ g as (select *, ('0x' || substring(h, 1, 4))::int % 16 as ring from r),
 w as (select *, case when lag(target_id) over (partition by ring order by h, row_id) is distinct from target_id then 1 else 0 end as new from g),
 u as (select *, sum(new) over (partition by ring order by h, row_id) as run from w),
 st as (select ring, run, row_id as start, target_id as start_target from u where new = 1),
-neg as (select u.row_id, coalesce(n.start, case when f.start_target <> u.target_id then f.start end) as negative
-  from u left join st n on n.ring = u.ring and n.run = u.run + 1 join st f on f.ring = u.ring and f.run = 1),
+neg as (select u.row_id, coalesce(n.start, case when f.start_target <> u.target_id then f.start end, g.start) as negative
+  from u left join st n on n.ring = u.ring and n.run = u.run + 1 join st f on f.ring = u.ring and f.run = 1 left join st g on g.ring = u.ring and g.run = 2),
 tri as (select pos.row_id as anchor, positive, negative from pos join neg on pos.row_id = neg.row_id)"""
 
 
