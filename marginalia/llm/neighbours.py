@@ -37,10 +37,18 @@ from pyspark.sql.window import Window
 
 from marginalia.plans.runtime import discard, materialize, spread
 
-DIM, LEAF, BLOCK = 64, 1024, 4096
+DIM, LEAF, BLOCK = 96, 1024, 4096
 #: Neighbours kept by the graph, those joined in a round, and those each cell proposes.
-GRAPH, JOINED, PROPOSED = 14, 8, 7
+GRAPH, JOINED, PROPOSED = 12, 8, 7
 ROUNDS, DEPTH, SEED = 3, 30, 11
+#: Nearest by which nodes find their home; the farther ones lead out of what lies together.
+LABELLED = 4
+#: Least number of tables of hyperplane cells.
+TABLES = 6
+#: Standard errors of a sketch that a candidate may lie below the k-th best.
+ERRORS = 3.0
+#: Rows up to which the sizes of the cells are broadcast; beyond them they are joined by shuffling.
+SMALL = 200_000
 #: Nodes at which a query enters the graph, for each table.
 DOORS = 128
 
@@ -114,6 +122,12 @@ def _lists(ids: np.ndarray, owner: np.ndarray, nb: np.ndarray, sim: np.ndarray)
     return pa.table({"id": pa.array(ids.astype(np.int64)), "cand": pa.ListArray.from_arrays(pa.array(ends), cand)})
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df for a join, broadcast only if it turns out small."""
+    df = materialize(df, "cells")
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def _cells(sk: DataFrame, tables: int, n: int) -> DataFrame:
     """``(t, cell, id, sketch)``: cells of about LEAF vectors; larger ones go by deeper sides, then by hash."""
     base = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
@@ -124,10 +138,10 @@ def _cells(sk: DataFrame, tables: int, n: int) -> DataFrame:
 
     first = rows.withColumn("top", at(F.lit(base)))
     sizes = first.groupBy("t", "top").agg(F.count(F.lit(1)).alias("n"))
-    deep = sizes.select("t", "top", F.least(F.lit(DEPTH), F.when(F.col("n") > 2 * LEAF, base + F.ceil(F.log2(F.col("n") / LEAF))).otherwise(base)).cast("int").alias("depth"))
+    deep = _small(sizes.select("t", "top", F.least(F.lit(DEPTH), F.when(F.col("n") > 2 * LEAF, base + F.ceil(F.log2(F.col("n") / LEAF))).otherwise(base)).cast("int").alias("depth")))
     second = first.join(deep, ["t", "top"]).withColumn("cell", at(F.col("depth")))
     # what the sides can't split lies very close together: parts of it are as good as the whole
-    counts = second.groupBy("t", "depth", "cell").agg(F.ceil(F.count(F.lit(1)) / (4 * LEAF)).alias("parts"))
+    counts = _small(second.groupBy("t", "depth", "cell").agg(F.ceil(F.count(F.lit(1)) / (4 * LEAF)).alias("parts")))
     out = second.join(counts, ["t", "depth", "cell"])
     return out.select("t", F.concat_ws(".", "depth", "cell", F.pmod(F.xxhash64("id", "t"), F.col("parts"))).alias("cell"), "id", "sketch")
 
@@ -156,7 +170,7 @@ def _best(cands: DataFrame, k: int = GRAPH) -> DataFrame:
 
 def _homes(graph: DataFrame) -> DataFrame:
     """``(id, block)``: nodes that share the smallest neighbour of a neighbour are at home in one block of some BLOCK nodes."""
-    near = F.transform(F.slice("cand", 1, JOINED), lambda x: x["nb"])
+    near = F.transform(F.slice("cand", 1, LABELLED), lambda x: x["nb"])
     one = graph.select("id", F.array_min(F.concat(F.array("id"), near)).alias("label"), near.alias("near"))
     edges = one.select("id", F.explode(F.concat(F.array("id"), "near")).alias("nb"))
     two = edges.join(one.select(F.col("id").alias("nb"), "label"), "nb").groupBy("id").agg(F.min("label").alias("label"))
@@ -168,22 +182,44 @@ def _blocks(graph: DataFrame, n: int) -> DataFrame:
     return _homes(graph).select("id", F.pmod("h", F.lit(max(12, -(-n // BLOCK)))).alias("block"))
 
 
-def _by_block(edges: DataFrame, homes: DataFrame, bytes_: DataFrame, fn, schema: str) -> DataFrame:
-    """Run fn on each block's edges ``(u, m)`` (u at home there) and the bytes of all nodes they name."""
-    placed = edges.join(homes.select(F.col("id").alias("u"), "block"), "u")
-    needed = placed.select("block", F.explode(F.array("u", "m")).alias("id")).distinct()
-    sent = needed.join(bytes_.select("id", "sketch"), "id").select(F.col("block").alias("at"), "id", "sketch")
+def _by_block(graph: DataFrame, n: int, k: int, mutual: bool, bytes_: DataFrame, fn, schema: str) -> DataFrame:
+    """Run fn on each block's edges ``(u, ms)`` (u at home there) and the bytes of all nodes they name.
+
+    A node's k nearest go with it to its home as one list. mutual adds the
+    edges the other way round, for which only pairs of ids are shuffled.
+    """
+    # both are read several times, and small beside the joins that make them
+    homes = materialize(_blocks(graph, n), "homes")
+    near = F.transform(F.slice("cand", 1, k), lambda x: x["nb"])
+    placed = graph.select("id", near.alias("ms")).join(homes, "id").select("block", F.col("id").alias("u"), "ms")
+    if mutual:
+        back = graph.select(F.col("id").alias("m"), F.explode(near).alias("id")).join(homes, "id")
+        placed = placed.unionByName(back.select("block", F.col("id").alias("u"), F.array("m").alias("ms")))
+    placed = materialize(placed, "placed")
+    needed = placed.select("block", F.explode(F.concat(F.array("u"), "ms")).alias("id")).groupBy("id").agg(F.collect_set("block").alias("blocks"))
+    sent = needed.join(bytes_.select("id", "sketch"), "id").select(F.explode("blocks").alias("at"), "id", "sketch")
     return placed.groupBy("block").cogroup(sent.groupBy("at")).applyInArrow(fn, schema)
 
 
+def _pairs(edges: pa.Table, ids: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Different edges of a block as places in sorted ids, by u; own adds each u to its members."""
+    ms = edges.column("ms").combine_chunks()
+    ms = ms.chunk(0) if isinstance(ms, pa.ChunkedArray) else ms
+    u = np.searchsorted(ids, np.repeat(edges.column("u").to_numpy(), np.asarray(pc.list_value_length(ms))))
+    v = np.searchsorted(ids, ms.flatten().to_numpy())
+    if own:
+        centres = np.unique(np.searchsorted(ids, edges.column("u").to_numpy()))
+        u, v = np.concatenate([u, centres]), np.concatenate([v, centres])
+    key = np.unique(u.astype(np.int64) * len(ids) + v)
+    return key // max(1, len(ids)), key % max(1, len(ids))
+
+
 def _local_join(edges: pa.Table, nodes: pa.Table) -> pa.Table:
     """All pairs among the members of each centre, measured on sketches; each member's best GRAPH."""
     ids = nodes.column("id").to_numpy()
     order = np.argsort(ids)
     ids, m = ids[order], _unit(nodes.column("sketch").to_pylist())[order] if len(order) else np.zeros((0, DIM), np.float32)
-    u, v = np.searchsorted(ids, edges.column("u").to_numpy()), np.searchsorted(ids, edges.column("m").to_numpy())
-    by = np.argsort(u, kind="stable")
-    u, v = u[by], v[by]
+    u, v = _pairs(edges, ids, own=True)
     centre, start = np.unique(u, return_index=True)
     count = np.diff(np.append(start, len(u)))
     left, right, sims = [], [], []
@@ -241,7 +277,7 @@ def _measure(k: int):
         raw = nodes.column("sketch").to_pylist()
         m = np.frombuffer(b"".join(raw), dtype=np.int8).reshape(len(raw), -1)[order] if raw else np.zeros((0, 1), np.int8)
         ids = ids[order]
-        u, v = np.searchsorted(ids, edges.column("u").to_numpy()), np.searchsorted(ids, edges.column("m").to_numpy())
+        u, v = _pairs(edges, ids, own=False)
         norm = np.sqrt((m.astype(np.float32) ** 2).sum(1)) if len(m) else np.zeros(0)
         s = np.zeros(len(u), np.float32)
         for a in range(0, len(u), 8192):
@@ -275,16 +311,13 @@ def build(vectors: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFram
         return spark.createDataFrame([], _CANDIDATES), spark.createDataFrame([], "id long, sketch binary, codes array<int>"), 0
     # a cell deeper by one side holds a pair together less often, so tables grow with the logarithm of the rows
     rows = vectors.count()
-    tables = max(4, int(np.ceil(np.log2(max(2, rows / LEAF)))))
+    tables = max(TABLES, int(np.ceil(np.log2(max(2, rows / LEAF)))))
     sk = materialize(sketches(spread(vectors), width, tables), "sketches")
     n = sk.count()
     cells = _cells(sk, tables, n)
     graph = materialize(_best(cells.groupBy("t", "cell").applyInArrow(_propose, _CANDIDATES)), "graph")
     for _ in range(rounds):
-        homes = _blocks(graph, n)
-        one = _edges(graph, JOINED)
-        both = one.unionByName(one.select(F.col("m").alias("u"), F.col("u").alias("m"))).unionByName(graph.select(F.col("id").alias("u"), F.col("id").alias("m"))).distinct()
-        better = _by_block(both, homes, sk, _local_join, _CANDIDATES)
+        better = _by_block(graph, n, JOINED, True, sk, _local_join, _CANDIDATES)
         old, graph = graph, materialize(_best(graph.unionByName(better)), "graph")
         discard(old)
     return graph, sk, width
@@ -296,7 +329,12 @@ def nearest(vectors: DataFrame, k: int = 5, rounds: int = ROUNDS) -> DataFrame:
     if not width:
         return graph
     n = graph.count()
-    return _by_block(_edges(graph, GRAPH), _blocks(graph, n), whole_bytes(spread(vectors), width), _measure(k), _CANDIDATES)
+    # a sketch of DIM random directions measures a similarity s with an error of (1 - s^2) / sqrt(DIM); what lies
+    # ERRORS such errors below the k-th best is not measured again
+    last = F.coalesce(F.get("cand", k - 1)["sim"], F.lit(-1.0))
+    error = lambda x: F.sqrt((F.pow(1 - last * last, F.lit(2.0)) + F.pow(1 - x * x, F.lit(2.0))) / DIM)
+    graph = graph.select("id", F.filter("cand", lambda x: x["sim"] >= last - ERRORS * error(x["sim"])).alias("cand"))
+    return _by_block(graph, n, GRAPH, False, whole_bytes(spread(vectors), width), _measure(k), _CANDIDATES)
 
 
 def collection(embedded: DataFrame) -> DataFrame:
