@@ -210,7 +210,29 @@ def people(catalogue_raw: DataFrame, refs: DataFrame) -> DataFrame:
     rest = settle(rest.mapInPandas(_parse_batch, "name string, n bigint, last string, given string, kind string, nick string").where(F.col("last") != "").withColumn("initial", initial)).where(F.col("initial") != "")
     stands = stands.unionByName(rest.select("last", "name", "n", F.col("initial").alias("given"), F.lit("entry").alias("kind"), F.array().cast("array<string>").alias("long")))
     rows = mine.unionByName(stands)
-    return rows.groupBy("last").applyInPandas(_tell_apart, "name string, person string").distinct()
+    return _by_last(rows).distinct()
+
+
+def _by_last(rows: DataFrame) -> DataFrame:
+    """_tell_apart on the rows of each last name; the groups are small and many, so a task cuts its sorted rows itself."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[tuple] = []
+        out: list[tuple[str, str]] = []
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if kept and kept[0].last != r.last:
+                    out += _tell_apart(kept)
+                    kept = []
+                kept.append(r)
+            if out:
+                yield pd.DataFrame(out, columns=["name", "person"])
+                out = []
+        if kept:
+            yield pd.DataFrame(_tell_apart(kept), columns=["name", "person"], dtype=object)
+
+    return rows.repartition(parts, "last").sortWithinPartitions("last").mapInPandas(run, "name string, person string")
 
 
 def _stands(firsts: DataFrame) -> DataFrame:
@@ -243,13 +265,13 @@ def _close(a: str, b: str) -> bool:
     return 200 * prev[-1] >= 80 * (len(a) + len(b))
 
 
-def _tell_apart(g: pd.DataFrame) -> pd.DataFrame:
+def _tell_apart(g: list) -> list[tuple[str, str]]:
     """People of one last name. One pass over its distinct names, most typed first; groups keep to themselves."""
-    last = g["last"].iloc[0]
+    last = g[0].last
     out: list[tuple[str, str]] = []
     full: Counter = Counter()
     ways: dict[str, set[str]] = {}
-    for r in g.itertuples(index=False):
+    for r in g:
         if r.kind == "group" or (r.kind == "entry" and r.given == "+"):
             out.append((r.name, f"{last} +"))
         elif r.kind == "full":
@@ -270,7 +292,7 @@ def _tell_apart(g: pd.DataFrame) -> pd.DataFrame:
             by_initial.setdefault(head[:1], []).append(head)
         heads[head] += full[given]
         belongs[given] = head
-    for r in g.itertuples(index=False):
+    for r in g:
         if r.kind == "full":
             out.append((r.name, f"{last} {belongs[r.given]}"))
         elif r.kind in ("initial", "short") or (r.kind == "entry" and r.given not in ("", "+")):
@@ -279,7 +301,7 @@ def _tell_apart(g: pd.DataFrame) -> pd.DataFrame:
             out.append((r.name, f"{last} {head}"))
         elif r.kind in ("bare", "entry") and len(heads) == 1:
             out.append((r.name, f"{last} {next(iter(heads))}"))
-    return pd.DataFrame(out, columns=["name", "person"])
+    return out
 
 
 def found(catalogue_raw: DataFrame, refs: DataFrame) -> DataFrame:
