@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +27,25 @@ def session(cores: str = "*", partitions: int = 8, name: str = "marginalia") ->
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once a context, so that their Python finds it wherever it was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_marginalia_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="marginalia-")  # the driver serves the file from here as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/marginalia.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+    sc._marginalia_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; Catalyst prunes its columns and pushes filters into the scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
