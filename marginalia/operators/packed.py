@@ -37,10 +37,12 @@ _GIVEN = r"^(?:\p{Lu}\.?(?:[\s-]*\p{Lu}\.)*|\p{Lu}[^\s.]*\.?(?:[\s-]+\p{Lu}\.)*(
 def _quoted(field: Column, apostrophes: bool) -> Column:
     """Opening and closing quotes of values become QUOTE; other quotes stay as they are."""
     out = field
-    edge_l, edge_r = r"(?<=^|[\[;,|/&\n\r]|\band)", r"(?=\s*(?:$|[\];,|/&\n\r(]|and\b))"
+    edge_r = r"(?=\s*(?:$|[\];,|/&\n\r(]|and\b))"
     for q in ['"', "'"] if apostrophes else ['"']:
         # a literal: quote at a value's start, then text in which the quote is doubled or inner, then quote at a value's end
-        lit = rf"(?:^|(?<=[\[;,|/&\n\r])|(?<=\band))(\s*){q}((?:{q}{q}|[^{q}])*+){q}{edge_r}"
+        # (an apostrophe between letters is no quote)
+        inner = r"(?<=\p{L})'(?=\p{L})|" if q == "'" else ""
+        lit = rf"(?:^|(?<=[\[;,|/&\n\r])|(?<=\band))(\s*){q}((?:{inner}{q}{q}|[^{q}])*+){q}{edge_r}"
         out = F.regexp_replace(out, lit, f"$1{QUOTE}$2{QUOTE}")
     return out
 
