@@ -2,16 +2,19 @@
 
 Method: a code-page swap is a substitution cipher over the non-ASCII signs of a
 word. Each word has a hidden swap (none, or one of the families below); swap
-weights, the byte-to-letter maps and a character bigram model are learned by
-expectation-maximization over the whole corpus, and each body then adapts the
-swap weights to itself (the body is the source). Maps are applied with
+weights and a character bigram model are learned by expectation-maximization
+over the whole corpus, and each body then adapts the swap weights to itself (the
+body is the source). The maps of the families are those of their code pages. A
+body with words that no family explains gets a free family: its own map, learned
+by expectation-maximization from the bigrams of the neighbours (``free_map``), so
+single-byte pages outside the list are found too. Maps are applied with
 ``str.translate``; multi-byte misreadings are ciphers whose symbols are the sign
 sequences that are valid UTF-8 in the misread code page.
 
 What leaves the executors in training is bounded by the alphabet, not by the
 corpus: signs outside ``ALPHABET`` share one class, so there are at most
 ``(len(ALPHABET) + 1) ** 2`` bigrams (about half a million, a few MB; a few
-thousand in practice), and one map entry for each swap and sign.
+thousand in practice), and one weight for each swap.
 
 Defined results: null and blank text is not garbled and is restored as itself;
 U+FFFD marks text that was lost in decoding, so it counts as garbled but is left
@@ -45,6 +48,11 @@ SMOOTH, PRIOR_RIGHT, ADAPT = 0.02, 0.985, 6.0
 UTF8_BONUS = 2.0
 #: A word does not count as evidence for itself, up to so many times.
 RARE = 3.0
+FREE = "free map"
+#: Rounds of a free map's learning; the log cost of an entry that moves; the least log gain of a whole map, net of its entries, and of a word.
+FREE_ROUNDS, FREE_ENTRY, FREE_MAP, FREE_WORD = 8, 5.0, 12.0, 4.0
+#: Distinct words that a free map must restore, and how often the model must hold a letter for a sign to stand for it.
+FREE_WORDS, FREE_LETTER = 3, 5.0
 #: Words kept in a task's memo; it is emptied when full, which costs time only.
 MEMO = 200_000
 
@@ -55,6 +63,8 @@ OTHER = "
 EDGE = " "
 _SPLIT = re.compile(r"[ \t\n\r\f\v]+")
 _HIGH = re.compile(r"[^\x00-\x7f]")
+_HIGH_RUNS = re.compile(r"[^\x00-\x7f]+")
+_HIGH_RUN = re.compile(r"[^\x00-\x7f]{2}")
 
 
 def _byte_map(page: str) -> dict[str, int]:
@@ -98,7 +108,7 @@ def undo_utf8(word: str, page: str) -> str:
 
 
 def swap_tables() -> dict[str, dict[int, str]]:
-    """Start of the byte-to-letter maps: for each swap, what each misread sign was written as."""
+    """The byte-to-letter maps: for each swap, what each misread sign was written as."""
     out = {}
     for wrong, right in SWAPS:
         table = {}
@@ -123,6 +133,7 @@ class Model:
             self.firsts[a] += n
         self.size = max(200, len(self.firsts))
         self._logs: dict[str, float] = {}
+        self.letters = sorted(c for c, n in self.firsts.items() if c > "\x9f" and c not in (OTHER, "\ufffd") and n >= FREE_LETTER)
 
     def score(self, word: str, without: float = 0.0) -> float:
         """Log likelihood of a word with its edges; ``without`` counts of it are taken out of the model first."""
@@ -179,7 +190,7 @@ def _start_weights() -> dict[str, float]:
 
 
 def learn(texts: DataFrame, column: str, rounds: int = ROUNDS) -> Model:
-    """Learn swap weights, maps and bigrams from all texts. An empty table gives the start model."""
+    """Learn swap weights and bigrams from all texts. An empty table gives the start model."""
     words = (
         texts.where(F.col(column).isNotNull())
         .select(F.explode(F.split(F.col(column), r"[ \t\n\r\f\x0b]+")).alias("word"))
@@ -200,7 +211,6 @@ def learn(texts: DataFrame, column: str, rounds: int = ROUNDS) -> Model:
     odd = words.where(~ascii_only)
     first = Counter({r["key"]: r["n"] for r in odd.mapInPandas(plain, "key string, n double").groupBy("key").agg(F.sum("n").alias("n")).collect()})
     model = Model(fixed + first, _start_weights(), swap_tables())
-    start = swap_tables()
     for _ in range(rounds):
         def expect(batches: Iterator[pd.DataFrame], m: Model = model) -> Iterator[pd.DataFrame]:
             total: Counter = Counter()
@@ -212,34 +222,117 @@ def learn(texts: DataFrame, column: str, rounds: int = ROUNDS) -> Model:
                         total["f", f] += p * n
                         for k, v in _pairs([r], [p * n]).items():
                             total["b", k] += v
-                        if f in start and len(r) == len(w):
-                            for a, c in zip(w, r):
-                                if a != c:
-                                    total["m", f + "\t" + a + c] += p * n
             if total:
                 yield pd.DataFrame({"kind": [k[0] for k in total], "key": [k[1] for k in total], "n": [float(v) for v in total.values()]})
 
         got = odd.mapInPandas(expect, "kind string, key string, n double").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
-        seen: dict[str, Counter] = {"f": Counter(), "b": Counter(), "m": Counter()}
+        seen: dict[str, Counter] = {"f": Counter(), "b": Counter()}
         for r in got:
             seen[r["kind"]][r["key"]] += r["n"]
         total = sum(seen["f"].values()) or 1.0
         prior = _start_weights()
         weights = {f: (seen["f"].get(f, 0.0) + 20 * prior[f]) / (total + 20) for f in FAMILIES}
-        # a map entry is kept at its most expected letter; the code page's own letter has one pseudo-count
-        tables = {}
-        for f, table in start.items():
-            tables[f] = dict(table)
-            best: dict[int, tuple[float, str]] = {a: (1.0, c) for a, c in table.items()}
-            for key, n in seen["m"].items():
-                g, _, ac = key.partition("\t")
-                if g == f and len(ac) == 2 and n > best.get(ord(ac[0]), (0, ""))[0]:
-                    best[ord(ac[0])] = (n, ac[1])
-            tables[f] = {a: c for a, (_, c) in best.items()}
-        model = Model(fixed + seen["b"], weights, tables)
+        model = Model(fixed + seen["b"], weights, model.tables)
     return model
 
 
+class Apart:
+    """A model without what one body's own words have told it; they would else be evidence for themselves."""
+
+    def __init__(self, model: Model, words: list[str]):
+        self.model, self.own, self.firsts = model, _pairs(pd.Series(words), pd.Series([RARE] * len(words))), Counter()
+        for (a, _), n in self.own.items():
+            self.firsts[a] += n
+
+    def count(self, a: str, b: str) -> float:
+        return max(self.model.bigrams.get(a + b, 0.0) - self.own.get(a + b, 0.0), 0.0)
+
+    def log(self, a: str, b: str) -> float:
+        n = self.count(a, b)
+        return math.log((n + SMOOTH) / (max(self.model.firsts.get(a, 0.0) - self.firsts.get(a, 0.0), n) + SMOOTH * self.model.size))
+
+    def score(self, word: str) -> float:
+        w = _edged(word)
+        return sum(self.log(a, b) for a, b in zip(w, w[1:]))
+
+    def attested(self, word: str) -> bool:
+        """Are all pairs with a sign beyond ASCII known from other texts?"""
+        w = _edged(word)
+        return all(self.count(a, b) > 0 for a, b in zip(w, w[1:]) if a > "\x7f" or b > "\x7f")
+
+
+def _edged(word: str) -> str:
+    return EDGE + "".join(c if c in _KNOWN else OTHER for c in word) + EDGE
+
+
+def free_map(words: list[str], model: Model) -> dict[int, str]:
+    """Map of the signs of one source's words to letters, by expectation-maximization; empty where no map explains them better.
+
+    words: each occurrence of the words beyond ASCII that no family explains. E-step: forward and backward over each
+    word, where a sign may be any letter of the model, weighted by the bigrams of its neighbours and the map so far.
+    M-step: the expected letters of a sign are its new map.
+    """
+    apart = Apart(model, words)
+    odd = sorted({w for w in words if not apart.attested(w)})
+    if len(odd) < FREE_WORDS:
+        return {}
+    signs = sorted({c for w in odd for c in w if c > "\x7f" and c != "\ufffd"})
+    letters = sorted(set(model.letters) | set(signs))
+    place = {c: i for i, c in enumerate(letters)}
+    shown = [c if c in _KNOWN else OTHER for c in letters]
+    inner = np.exp([[apart.log(a, b) for b in shown] for a in shown]) if any(_HIGH_RUN.search(w) for w in odd) else None
+    after: dict[str, np.ndarray] = {}
+    before: dict[str, np.ndarray] = {}
+    emit = {x: np.full(len(letters), 0.5 / len(letters)) for x in signs}
+    for x in signs:
+        emit[x][place[x]] += 0.5
+    for _ in range(FREE_ROUNDS):
+        total = {x: np.zeros(len(letters)) for x in signs}
+        for w in odd:
+            # runs of signs between two ASCII signs or edges are independent of each other
+            for m in _HIGH_RUNS.finditer(w):
+                run, a, b = m.group(), w[m.start() - 1] if m.start() else EDGE, w[m.end()] if m.end() < len(w) else EDGE
+                if any(x not in emit for x in run):
+                    continue
+                if a not in after:
+                    after[a] = np.exp([apart.log(a, c) for c in shown])
+                if b not in before:
+                    before[b] = np.exp([apart.log(c, b) for c in shown])
+                fore, back = [after[a] * emit[run[0]]], [before[b]]
+                for x in run[1:]:
+                    v = (fore[-1] @ inner) * emit[x]
+                    fore.append(v / max(v.sum(), 1e-300))
+                for x in run[:0:-1]:
+                    v = inner @ (back[-1] * emit[x])
+                    back.append(v / max(v.sum(), 1e-300))
+                for x, f, g in zip(run, fore, reversed(back)):
+                    q = f * g
+                    total[x] += q / max(q.sum(), 1e-300)
+        for x in signs:
+            v = total[x] + 0.5 / len(letters)
+            emit[x] = v / v.sum()
+    table: dict[int, str] = {}
+    # a code page gives each sign another letter
+    for n, x, c in sorted(((total[x].max(), x, letters[int(emit[x].argmax())]) for x in signs), reverse=True):
+        if c != x and c not in table.values():
+            table[ord(x)] = c
+
+    base = {w: apart.score(w) for w in odd}
+
+    def gains(t: dict[int, str]) -> list[float]:
+        return [apart.score(w.translate(t)) - v for w, v in base.items()]
+
+    while table:
+        gain = gains(table)
+        net = sum(gain) - FREE_ENTRY * len(table)
+        less = max(((sum(gains({k: v for k, v in table.items() if k != x})) - FREE_ENTRY * (len(table) - 1), x) for x in table), default=(net, 0))
+        if less[0] <= net:
+            break
+        del table[less[1]]
+    right = [w for w, g in zip(base, gains(table)) if g >= FREE_WORD and apart.attested(w.translate(table))] if table else []
+    return table if len(right) >= FREE_WORDS and 2 * len(right) > len(odd) and net >= FREE_MAP else {}
+
+
 def restore_text(text: str | None, model: Model, memo: dict | None = None) -> tuple[str | None, int, bool, str | None]:
     """(restored text, garbled words, garbled at all, main swap) of one text; the swap weights adapt to it first."""
     if not text or not _HIGH.search(text):
@@ -261,7 +354,7 @@ def restore_text(text: str | None, model: Model, memo: dict | None = None) -> tu
             total[f] += p
     n = len(odd)
     own = {f: (ADAPT * model.weights[f] + total[f]) / (ADAPT + n) for f in FAMILIES}
-    bad, used, second = 0, Counter(), {}
+    bad, used, second, still, partly = 0, Counter(), {}, [], []
     for k in odd:
         w = parts[k]
         if w not in second:
@@ -272,7 +365,24 @@ def restore_text(text: str | None, model: Model, memo: dict | None = None) -> tu
         if f != IDENTITY:
             bad += 1
             used[f] += 1
+            if len(r) == len(w):
+                partly.append((k, w))
             parts[k] = r
+        else:
+            still.append(k)
+    if len(still) >= FREE_WORDS:
+        table = free_map([parts[k] for k in still], model)
+        for k in still if table else ():
+            r = parts[k].translate(table)
+            if r != parts[k]:
+                bad += 1
+                used[FREE] += 1
+                parts[k] = r
+        # signs that a family of single bytes has left as they were in a word
+        for k, w in partly if table else ():
+            r = "".join(table.get(ord(a), a) if a == c else c for a, c in zip(w, parts[k]))
+            if model.score(r) > model.score(parts[k]):
+                parts[k] = r
     lost = "\ufffd" in text
     return "".join(parts), bad, bool(bad) or lost, used.most_common(1)[0][0] if used else None
 

@@ -77,6 +77,16 @@ def test_garbled_text(spark):
     assert encoding.found(df.limit(0), "body_id", "body").count() == 0
 
 
+def test_unknown_code_page_is_learned_from_the_body(spark):
+    clean = ["Größere Öffnungen führen zu Überlagerung für alle.", "Später wären mögliche Änderungen für Gefäße nötig.", "El año pasado se midió otra señal más débil."]
+    assert ("cp852", "cp1252") not in encoding.SWAPS
+    texts = [" ".join(clean[:2]), clean[2]]
+    rows = [(i, texts[i % 2]) for i in range(60)] + [(100 + i, texts[0].encode("cp1252").decode("cp852")) for i in range(2)]
+    got = {r.body_id: r for r in encoding.restore(spark.createDataFrame(rows, "body_id long, body string"), "body_id", "body").collect()}
+    assert sorted(k for k, r in got.items() if r.garbled) == [100, 101]
+    assert got[100].restored == got[101].restored == texts[0]
+
+
 # 3 vectors
 
 
