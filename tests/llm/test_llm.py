@@ -213,6 +213,20 @@ def test_hamming_join_is_exact(spark):
     assert got == want
 
 
+def test_hamming_join_is_exact_on_short_titles(spark):
+    r = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(r.choice(letters) for _ in range(n))
+    base = [[word(r.randrange(2, 10)) for _ in range(1 + i % 3)] for i in range(240)]
+    slips = [[w[:k] + r.choice(letters) + w[k + 1 :] for w in ws[:1] for k in [r.randrange(len(w))]] + ws[1:] for ws in base]
+    vecs = [linkage.bits_of(ws) for ws in base + slips] + [0]
+    rows = [(linkage._longs(v),) for v in vecs]
+    df = spark.createDataFrame(rows, "cb array<long>")
+    got = [(tuple(x.cb_l), tuple(x.cb_r)) for x in linkage.hamming_pairs(df, df).collect()]
+    want = {(tuple(a[0]), tuple(b[0])) for a, x in zip(rows, vecs) for b, y in zip(rows, vecs) if (x ^ y).bit_count() < linkage.CHUNKS}
+    assert set(got) == want and len(got) == len(want)
+
+
 # 7 tokens
 
 TEXTS = ["", None, "Hello world, it's 2024!", "  \n\t ", "<|endoftext|> is text", "é ü 漢字 🙂‍👩", "a" * 5000, "1234567890" * 300, "x" * 3 + " " * 700 + "y", "\x00​﻿"]
