@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,8 @@ from marginalia.operators.packed import PARTICLES, explode_packed
 from marginalia.plans.runtime import materialize, spread
 
 MIN_SUFFIX, COMMON = 4, 40
+#: Names of more letters are keyed by pieces, not by what is left without some letters.
+SHORT = 14
 CLOSE = 0.8
 #: Entries in which a spelling must stand to count as attested.
 ATTESTED = 2
@@ -129,13 +132,45 @@ def nicknames(names: DataFrame) -> DataFrame:
     return learned.unionByName(fixed).distinct()
 
 
+def _slips(n: int) -> int:
+    """Most letters that a name of n letters can lose to its longest common subsequence with a name it is compared to."""
+    return max(a for m in range(max(n - 2, 1), n + 3) for a in range(4) if 0 <= a + m - n <= 3 and 2 * a + m - n <= (1 - CLOSE) * (n + m) + 1e-9)
+
+
+def slip_keys(last: str) -> set[str]:
+    """Keys of which two names share one if their lengths differ by 2 at most, their Levenshtein distance is 3 at most and their LCS ratio reaches CLOSE.
+
+    The name without up to ``_slips`` letters: one of these is the longest common subsequence. Of two names of
+    over SHORT letters, which would have very many, one of four pieces stands in the other, 3 places off at most.
+    """
+    n, out = len(last), set()
+    if n <= SHORT + 2:
+        for k in range(_slips(n) + 1):
+            out.update("-" + "".join(c) for c in combinations(last, n - k))
+    if n > SHORT:
+        for m in range(n - 2, n + 3):
+            cuts = [m * i // 4 for i in range(5)]
+            for i in range(4):
+                size = cuts[i + 1] - cuts[i]
+                out.update(f"#{m}.{i}.{last[p : p + size]}" for p in range(max(cuts[i] - 3, 0), min(cuts[i] + 3, n - size) + 1))
+    return out
+
+
+def _slip_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(last, initial, f"{key}-{initial}") for last, initial in zip(b["last"], b["initial"]) for key in slip_keys(last)]
+        yield pd.DataFrame(rows, columns=["last", "initial", "block"])
+
+
 def suffix_pairs(spellings: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of close spellings ``(last, initial)`` by suffix blocking and LCS ratio.
 
     A slip near the start of a last name leaves a long suffix of it as it is. A
     slip near the end leaves the other token, the given name, as it is: its
     suffixes are common to very many people, so they are only used refined with
-    the first letters of the last name.
+    the first letters of the last name. Blocks by slips meet what these two miss:
+    short names, slips in the middle, and slips in the first two letters of
+    names whose suffix is refined.
     """
     s = spellings.select("last", "initial")
     offsets = F.filter(F.sequence(F.lit(0), F.lit(5)), lambda k: F.length("last") - k >= MIN_SUFFIX)
@@ -145,8 +180,8 @@ def suffix_pairs(spellings: DataFrame) -> DataFrame:
         "last", "initial", F.when(F.col("size") > COMMON, F.concat_ws("|", "block", "initial", F.substring("last", 1, 2))).otherwise(F.concat_ws("|", "block", "initial")).alias("block")
     )
     by_other = s.where(F.length("last") >= MIN_SUFFIX).select("last", "initial", F.concat_ws("<", F.substring("last", 1, 4), F.col("initial")).alias("block"))
-    # a swapped or doubled letter within the first four: the first two letters and the length class still hold
-    rows = refined.unionByName(by_other).distinct()
+    # slips anywhere, in names of any length and blocks of any size
+    rows = refined.unionByName(by_other).unionByName(spread(s).mapInPandas(_slip_batch, "last string, initial string, block string")).distinct()
     left = rows.select(F.col("last").alias("a"), F.col("initial"), "block")
     right = rows.select(F.col("last").alias("b"), F.col("initial").alias("initial_b"), "block")
     near = left.join(right, "block").where((F.col("initial") == F.col("initial_b")) & (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 2) & (F.levenshtein("a", "b", 3) >= 0))

@@ -60,6 +60,28 @@ def test_name_parsing():
     assert people.parse_name("the Foo team")[:3] == ("foo", "", "group")
 
 
+def test_slips_in_any_place_are_paired(spark):
+    near = [("Smith", "Smyth"), ("Meyer", "Meier"), ("Novak", "Nowak"), ("Fischer", "Fishcer"), ("Lang", "Lange"), ("Lin", "Lind"), ("Oberhauserbergmann", "Oberhausarbargmann")]
+    rows = [(x.lower(), "j") for p in near for x in p]
+    got = {(r.a, r.b) for r in people.suffix_pairs(spark.createDataFrame(rows, "last string, initial string")).collect()}
+    assert {tuple(sorted(x.lower() for x in p)) for p in near} - got == set()
+
+
+def test_slip_keys_miss_no_pair():
+    from marginalia.functions.similarity import lcs_length
+
+    r = random.Random(2)
+    for _ in range(3000):
+        a = "".join(r.choice("abcde") for _ in range(r.randrange(2, 20)))
+        b = list(a)
+        for _ in range(r.randrange(1, 4)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randrange(2)] = r.choice(["", "x", "a"])
+        b = "".join(b)
+        if abs(len(a) - len(b)) <= 2 and 2 * lcs_length(a, b) >= people.CLOSE * (len(a) + len(b)):
+            assert people.slip_keys(a) & people.slip_keys(b), (a, b)
+
+
 # 2 encodings
 
 
