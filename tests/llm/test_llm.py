@@ -225,6 +225,15 @@ def test_links(spark):
     assert linkage.found(df, articles(spark).limit(0)).count() == 0 and linkage.found(df.limit(0), articles(spark)).count() == 0
 
 
+def test_titles_of_common_words_are_linked(spark):
+    words = ["granular", "packing", "pairing", "coupled", "datasets", "turbulent", "lattice", "spectra"]
+    arts = [(f"a{i}", None, " ".join(w for w in words if w != x), None) for i, x in enumerate(words)]
+    df = spark.createDataFrame(arts, "id string, info string, title string, authors string")
+    assert set(words) <= linkage.common_words(df)
+    refs = spark.createDataFrame([(i, a[2], None, None, None) for i, a in enumerate(arts)], "ref_id long, title string, info string, author_ln string, target_id string")
+    assert {r.ref_id: r["id"] for r in linkage.found(refs, df).collect()} == {i: f"a{i}" for i in range(len(words))}
+
+
 def test_hamming_join_is_exact(spark):
     r = random.Random(9)
     base = [r.getrandbits(512) for _ in range(40)]
