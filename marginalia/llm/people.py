@@ -2,8 +2,8 @@
 
 Method: suffix blocking. Spellings of last names are indexed by their token
 suffixes of at least ``MIN_SUFFIX`` letters; a suffix that more than ``COMMON``
-spellings share is not discarded but refined with other fields (initial and first
-letters), and pairs are compared by their longest-common-subsequence ratio. A
+spellings of one initial share is not discarded but refined with the first letters,
+and slip keys (``slip_keys``) meet the rest, so no pair depends on the size; pairs are compared by their longest-common-subsequence ratio. A
 spelling joins the better attested one it is close to, unless bibliography
 entries attest both of them. Within one last name the given names (full, short,
 initials, nicknames learned from quoted forms) tell people apart, in one pass
@@ -175,8 +175,9 @@ def suffix_pairs(spellings: DataFrame) -> DataFrame:
     s = spellings.select("last", "initial")
     offsets = F.filter(F.sequence(F.lit(0), F.lit(5)), lambda k: F.length("last") - k >= MIN_SUFFIX)
     by_suffix = s.where(F.length("last") >= MIN_SUFFIX).select("last", "initial", F.explode(F.transform(offsets, lambda k: F.substring(F.col("last"), k + 1, F.length("last")))).alias("block"))
-    sizes = by_suffix.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
-    refined = by_suffix.join(sizes, "block").select(
+    sizes = by_suffix.groupBy("block", "initial").agg(F.count(F.lit(1)).alias("size"))
+    # refining costs no pair: the slip keys below meet every pair, at any size of a block
+    refined = by_suffix.join(sizes, ["block", "initial"]).select(
         "last", "initial", F.when(F.col("size") > COMMON, F.concat_ws("|", "block", "initial", F.substring("last", 1, 2))).otherwise(F.concat_ws("|", "block", "initial")).alias("block")
     )
     by_other = s.where(F.length("last") >= MIN_SUFFIX).select("last", "initial", F.concat_ws("<", F.substring("last", 1, 4), F.col("initial")).alias("block"))

@@ -67,6 +67,13 @@ def test_slips_in_any_place_are_paired(spark):
     assert {tuple(sorted(x.lower() for x in p)) for p in near} - got == set()
 
 
+def test_slips_are_paired_in_blocks_of_any_size(spark):
+    heads = [a + b for a in "bcdfghklmn" for b in "aeiou"]
+    rows = [(h + "rgmann", "j") for h in heads]
+    got = {(r.a, r.b) for r in people.suffix_pairs(spark.createDataFrame(rows, "last string, initial string")).collect()}
+    assert len(rows) > people.COMMON and ("bargmann", "bergmann") in got and ("bargmann", "cargmann") in got
+
+
 def test_slip_keys_miss_no_pair():
     from marginalia.functions.similarity import lcs_length
 
