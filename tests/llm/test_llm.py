@@ -232,6 +232,35 @@ def test_links(spark):
     assert linkage.found(df, articles(spark).limit(0)).count() == 0 and linkage.found(df.limit(0), articles(spark)).count() == 0
 
 
+def test_weights_stay_bounded_on_separable_labels_and_rivals_share():
+    import pandas as pd
+
+    rows = [(e, f"a{e}-{k}", 1, True, float(k == 0), 1.0, 0.99 if k == 0 else 0.7, 0.9 if k == 0 else 0.5, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0) for e in range(500) for k in range(3)]
+    sample = pd.DataFrame(rows, columns=["e_key", "c_key", "copies", "titled", "truth", *linkage.FEATURES])
+    w = linkage.fit(sample, True)
+    assert np.abs(w).max() < 100  # full Newton steps would run away here
+    assert np.array_equal(linkage.fit(sample.iloc[:0], True), np.array(linkage.PRIOR[True]))
+
+
+def test_equally_fitting_articles_share_the_confidence(spark):
+    arts = [(f"x{i}", "B. Twin. A study of the grommel lattice at rest. 2001-01-01", "A study of the grommel lattice at rest", "Bela Twin") for i in (1, 2)]
+    df = spark.createDataFrame(arts, "id string, info string, title string, authors string")
+    ref = [(1, None, "B. Twin, A study of the grommel lattice at rest, J. Wave Stud. 1, 2 (2001).", "Twin", None)]
+    refs = spark.createDataFrame(ref, "ref_id long, title string, info string, author_ln string, target_id string")
+    got = linkage.link(refs, df).collect()
+    assert [r["id"] for r in got] == ["x1"] and got[0].confidence <= 0.5
+    assert linkage.link(refs, df.where("id = 'x2'")).first().confidence > 0.9
+
+
+def test_entries_without_title_and_with_one_author_are_linked_where_nothing_else_fits(spark):
+    arts = [("a", "C. Lonely. On rest. 2003-01-01", "On the rest of grommels", "Cora Lonely"), ("b", "D. Other. On rest. 2004-01-01", "On the unrest of grommels", "Dora Other"), ("c", "D. Other. On work. 2004-05-01", "On the work of grommels", "Dora Other")]
+    df = spark.createDataFrame(arts, "id string, info string, title string, authors string")
+    refs = spark.createDataFrame([(1, None, "C. Lonely, J. Wave Stud. 1, 2 (2003).", "Lonely", None), (2, None, "D. Other, J. Wave Stud. 1, 2 (2004).", "Other", None)], "ref_id long, title string, info string, author_ln string, target_id string")
+    got = {r.ref_id: r for r in linkage.link(refs, df).collect()}
+    assert got[1]["id"] == "a" and 0 < got[1].confidence
+    assert got[2].confidence < 0.5
+
+
 def test_titles_of_common_words_are_linked(spark):
     words = ["granular", "packing", "pairing", "coupled", "datasets", "turbulent", "lattice", "spectra"]
     arts = [(f"a{i}", None, " ".join(w for w in words if w != x), None) for i, x in enumerate(words)]
