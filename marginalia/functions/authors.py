@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def last_name(author: Column, parity: bool = False) -> Column:
+def last_name(author: Column) -> Column:
     """Lower-case last word of an author string; of several joined by `` and `` the last that ends in a word counts.
 
     Null and ``''`` stay as they are; where no part ends in a word the string stays unchanged.

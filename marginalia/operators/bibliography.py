@@ -19,7 +19,11 @@ from marginalia.functions import latex
 from marginalia.functions.authors import first_author_of_entry
 from marginalia.operators.catalogue import last_wins
 
-_NEST = r"[^{}]*(?:\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}[^{}]*)*"
+#: Levels of braces inside a group that are read as one group.
+LEVELS = 12
+_NEST = r"[^{}]*+"
+for _ in range(LEVELS):
+    _NEST = rf"[^{{}}]*+(?:\{{{_NEST}\}}[^{{}}]*+)*+"
 
 
 def bibitems(df: DataFrame, text: str, keys: list[str]) -> DataFrame:

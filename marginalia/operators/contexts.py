@@ -32,10 +32,10 @@ def contexts(found: DataFrame, size: int = SIZE, look_back: int = LOOK_BACK, cle
     return out.where(~spans.too_dense(F.col("context")))
 
 
-def dataset(bodies: DataFrame, refs: DataFrame, size: int = SIZE) -> DataFrame:
+def dataset(bodies: DataFrame, refs: DataFrame, size: int = SIZE, clean: Column | None = None) -> DataFrame:
     """Distinct ``(source_id, target_id, context)`` of matched references."""
     found = hits(bodies, refs.where(F.col("target_id").isNotNull() & (F.col("target_id") != "")))
-    return contexts(found, size).select(F.col("paper_id").alias("source_id"), "target_id", "context").distinct()
+    return contexts(found, size, clean=clean).select(F.col("paper_id").alias("source_id"), "target_id", "context").distinct()
 
 
 def update(existing: DataFrame, new: DataFrame) -> DataFrame:

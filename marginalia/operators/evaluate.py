@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.functions.vectors import kernel
+from marginalia.functions.vectors import metric_of, row_pairs, sums
 from marginalia.plans.running import hash_order
 
 #: Rows of a block of queries and of targets.
-QUERY_BLOCK, TARGET_BLOCK = 512, 8192
+QUERY_BLOCK, TARGET_BLOCK = 2048, 8192
+#: Distances are told apart to so many digits.
+DIGITS = 9
 
 
 def _rows(column: pa.ChunkedArray) -> np.ndarray:
@@ -33,6 +35,12 @@ def _blocks(queries: DataFrame, targets: DataFrame, fn, schema: str) -> DataFram
     return q.groupBy("qb", "tb").cogroup(t.groupBy("qb2", "tb2")).applyInArrow(fn, schema)
 
 
+def _slack(total: np.ndarray, metric: str) -> np.ndarray:
+    """How far two sums before any root can be apart whose distances are equal to DIGITS digits."""
+    unit = 10.0**-DIGITS
+    return 2 * unit * (np.sqrt(np.maximum(total, 0)) + unit) if metric_of(metric).root else np.full(len(total), 2 * unit)
+
+
 def _same_width(df: DataFrame, width: int) -> DataFrame:
     return df.where((F.size("vec") == width) & ~F.exists("vec", lambda x: x.isNull()))
 
@@ -53,12 +61,17 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, metric: str = "eucli
             return pa.table({"query": q.column("query").slice(0, 0), "target": t.column("target").slice(0, 0), "distance": pa.array([], pa.float64())})
         order = np.argsort(names, kind="stable")
         names = names[order]
-        d = np.round(kernel(metric, _rows(q.column("vec")), _rows(t.column("vec"))[order], w), 9)
-        d[ids[:, None] == names[None, :]] = np.inf
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        dist = np.take_along_axis(d, near, 1)
-        keep = np.isfinite(dist)
-        return pa.table({"query": pa.array(np.broadcast_to(ids[:, None], near.shape)[keep]), "target": pa.array(names[near][keep]), "distance": pa.array(dist[keep])})
+        x, y = _rows(q.column("vec")), _rows(t.column("vec"))[order]
+        rough, off = sums(metric, x, y, w)
+        rough[ids[:, None] == names[None, :]] = np.inf
+        last = np.partition(rough, min(k, len(names)) - 1, axis=1)[:, min(k, len(names)) - 1]
+        # what may be among the k nearest is measured exactly, and ties go by the target
+        row, col = np.nonzero((rough <= (last + 2 * off + _slack(last, metric))[:, None]) & np.isfinite(rough))
+        dist = np.concatenate([np.round(row_pairs(metric, x[row[i : i + 4096]], y[col[i : i + 4096]], w), DIGITS) for i in range(0, len(row), 4096)] or [np.zeros(0)])
+        by = np.lexsort((col, dist, row))
+        row, col, dist = row[by], col[by], dist[by]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return pa.table({"query": pa.array(ids[row[keep]]), "target": pa.array(names[col[keep]]), "distance": pa.array(dist[keep])})
 
     near = _blocks(_same_width(queries, width).dropDuplicates(["query"]), _same_width(targets, width).dropDuplicates(["target"]), fn, f"query {kind}, target {kind}, distance double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "target"))
@@ -74,16 +87,29 @@ def closer_targets(pairs: DataFrame, targets: DataFrame, metric: str = "euclidea
             n = np.zeros(q.num_rows, dtype=np.int64)
         else:
             x, goal, y = _rows(q.column("vec")), _rows(q.column("goal")), _rows(t.column("vec"))
-            own = np.concatenate([kernel(metric, x[i : i + 1], goal[i : i + 1], w)[0] for i in range(len(x))])
-            n = (np.round(kernel(metric, x, y, w), 9) < np.round(own, 9)[:, None]).sum(1)
+            own = np.round(row_pairs(metric, x, goal, w), DIGITS)
+            rough, off = sums(metric, x, y, w)
+            mine = own**2 if metric_of(metric).root else own
+            off = 2 * off + _slack(mine, metric)
+            n = (rough < (mine - off)[:, None]).sum(1)
+            # near ties are measured exactly
+            row, col = np.nonzero(np.abs(rough - mine[:, None]) <= off[:, None])
+            for i in range(0, len(row), 4096):
+                r, c = row[i : i + 4096], col[i : i + 4096]
+                np.add.at(n, r[np.round(row_pairs(metric, x[r], y[c], w), DIGITS) < own[r]], 1)
         return pa.table({"query": q.column("query"), "n": pa.array(n.astype(np.int64))})
 
     good = _same_width(pairs, width).where(F.size("goal") == width)
     return _blocks(good, _same_width(targets, width).dropDuplicates(["target"]), fn, "query long, n long").groupBy("query").agg(F.sum("n").alias("n_closer"))
 
 
-def topk_accuracy(pairs: DataFrame, targets: DataFrame, k: int = 20, metric: str = "euclidean", weights: np.ndarray | None = None, width: int = 768) -> DataFrame:
-    """One row ``(n, hits, accuracy)``: the share of queries whose goal has fewer than k strictly closer targets."""
+def topk_accuracy(pairs: DataFrame, targets: DataFrame, k: int = 20, metric: str = "euclidean", weights: np.ndarray | None = None, width: int = 768, mini_eval: int = 0) -> DataFrame:
+    """One row ``(n, hits, accuracy)``: the share of queries whose goal has fewer than k strictly closer targets.
+
+    mini_eval: only the first so many queries by their id, and their number as the divisor; 0 takes all.
+    """
+    if mini_eval:
+        pairs = pairs.orderBy("query").limit(mini_eval)
     c = closer_targets(pairs, targets, metric, weights, width)
     return c.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_closer") < k).alias("hits"), F.avg((F.col("n_closer") < k).cast("double")).alias("accuracy"))
 
@@ -120,3 +146,14 @@ def blind_table(contexts: DataFrame, model1: DataFrame, model2: DataFrame, seed:
     both = model1.withColumn("model_no", F.lit(1)).unionByName(model2.withColumn("model_no", F.lit(2)))
     near = both.select(F.col("query").alias("context_no"), "model_no", "rank", F.col("target").alias("predicted_id"))
     return balanced_slots(contexts, seed, each).join(near, ["context_no", "model_no", "rank"]).select("context_no", "slot", "model_no", "predicted_id")
+
+
+def identify(vectors: DataFrame, known: DataFrame) -> DataFrame:
+    """``(key, vec_id)`` of vectors ``(key, vec)`` and known ones ``(vec_id, vec)`` with equal components.
+
+    The join is on a hash of the components, and the components themselves decide. Null vectors equal none; a vector
+    known under several ids gives a row for each, a known id of several rows counts once.
+    """
+    hashed = lambda df: df.where(F.col("vec").isNotNull()).withColumn("h", F.xxhash64("vec"))
+    k = hashed(known).dropDuplicates(["vec_id", "h"]).withColumnRenamed("vec", "known")
+    return hashed(vectors).join(k, "h").where(F.col("vec") == F.col("known")).select("key", "vec_id")

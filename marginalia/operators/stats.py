@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,13 +17,13 @@ PAIRED_SCORES = [(4, 3), (2, 2), (0, 0), (1, 1), (4, 2), (2, 3), (3, 3), (1, 0),
 def signed_ranks(pairs: DataFrame) -> DataFrame:
     """One row ``(n, w_plus, w_minus, ties)`` of ``(x, y)``: zero differences drop out, equal sizes share their mean rank.
 
-    Ranks come from the counts of the distinct sizes, so the window holds one row a size.
+    Ranks come from the counts of the distinct sizes, summed in two levels, so no task sees all sizes: a cell
+    is a 256th of an octave.
     ties is the sum of t^3 - t over the groups of equal sizes. Null on either side drops the row.
     """
     d = pairs.select((F.col("x") - F.col("y")).cast("double").alias("d")).where("d <> 0")
     sizes = d.groupBy(F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("d") > 0).alias("up"))
-    below = F.coalesce(F.sum("t").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = sizes.withColumn("rank", below + (F.col("t") + 1) / 2)
+    ranked = running(sizes, F.floor(256 * F.log2("size")), [F.col("size")], {"below": F.col("t")}).withColumn("rank", F.col("below") + (F.col("t") + 1) / 2)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return ranked.agg(
         F.coalesce(F.sum("t"), F.lit(0)).alias("n"), zero(F.sum(F.col("rank") * F.col("up"))).alias("w_plus"), zero(F.sum(F.col("rank") * (F.col("t") - F.col("up")))).alias("w_minus"),
@@ -46,7 +46,18 @@ def wilcoxon(pairs: DataFrame, alpha: float = 0.05) -> DataFrame:
 def prefix_mean(series: DataFrame, order: str, value: str, cell) -> DataFrame:
     """``(order, prefix_mean)``: mean of all values up to each row; cell grows with order and cuts it into ranges."""
     out = running(series.select(order, value).where(F.col(value).isNotNull()), cell, [F.col(order)], {"__s": F.col(value), "__n": F.lit(1)})
-    return out.select(order, ((F.col("__s") + F.col(value)) / (F.col("__n") + 1)).alias("prefix_mean"))
+    return out.select(order, ((F.col("__s") + F.col(value)).cast("double") / (F.col("__n") + 1)).alias("prefix_mean"))
+
+
+def file_stamp(at: Column) -> Column:
+    """A time as it stands in file names."""
+    return F.date_format(at, "yyyyMMdd-HHmmss")
+
+
+def elapsed(seconds: Column) -> Column:
+    """Seconds as ``HH:MM:SS``; hours may have more digits."""
+    s = F.floor(seconds)
+    return F.concat_ws(":", F.lpad(F.floor(s / 3600).cast("string"), 2, "0"), F.lpad(F.floor(s % 3600 / 60).cast("string"), 2, "0"), F.lpad((s % 60).cast("string"), 2, "0"))
 
 
 def weight_trace(log: DataFrame, vector: str, dims: list[int], key: str) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Hash digits that cut a hash order into cells: 4,096 cells, whose totals are the only rows of the outer window.
-DIGITS = 3
+#: Hash digits that cut a hash order into cells: 65,536 cells, whose totals are the only rows of the outer window.
+DIGITS = 4
 
 
 def hash_order(seed: int, *keys: Column) -> Column:
@@ -37,3 +37,8 @@ def positions(df: DataFrame, seed: int, *keys: str, name: str = "pos") -> DataFr
     h = hash_order(seed, *[F.col(k) for k in keys])
     ordered = df.withColumn("__h", h)
     return running(ordered, F.substring("__h", 1, DIGITS), [F.col("__h"), *[F.col(k) for k in keys]], {name: F.lit(1)}).drop("__h")
+
+
+def numbered(df: DataFrame, order: str, width: int = 10_000, name: str = "pos") -> DataFrame:
+    """df with its 0-based position by an integer column; ``width`` values of it make a cell. Equal values have no set order."""
+    return running(df, F.floor(F.col(order) / width), [F.col(order)], {name: F.lit(1)})

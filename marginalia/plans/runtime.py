@@ -14,17 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 def session(cores: str = "*", partitions: int = 8, name: str = "marginalia") -> SparkSession:
     """A local session with the settings the tests and the bench use."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:
@@ -50,10 +53,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local session gets an own one; a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         existing = spark.sparkContext.getCheckpointDir()
+        if not existing and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = existing or f"file://{tempfile.mkdtemp(prefix='marginalia-')}"
         if not existing:
             spark.sparkContext.setCheckpointDir(folder)
@@ -63,6 +68,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/marginalia/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -81,5 +87,6 @@ def discard(df: DataFrame) -> None:
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores, for a costly step on few input splits; a large input has splits enough and is left alone."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(3 * cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEMBER = "paper_id string, path string, content binary, error string"
+#: Bytes up to which a member is unpacked, unless told otherwise; a larger one is named in the audit.
 MAX_MEMBER = 64 << 20
 
 
@@ -19,11 +20,11 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][aA][rR]").load(folder).select("path", "content")
 
 
-def untar(archives: DataFrame) -> DataFrame:
+def untar(archives: DataFrame, max_member: int = MAX_MEMBER) -> DataFrame:
     """``(paper_id, path, content, error)``: one row a member; an unreadable archive gives one row with its error.
 
     Members are read in memory; links, devices and paths that leave the archive are
-    left out, and a member above MAX_MEMBER bytes gives an error row.
+    left out, and a member above max_member bytes gives an error row.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,7 +38,7 @@ def untar(archives: DataFrame) -> DataFrame:
                             parts = m.name.split("/")
                             if not m.isfile() or m.name.startswith("/") or ".." in parts or parts[-1] == ".DS_Store":
                                 continue
-                            if m.size > MAX_MEMBER:
+                            if m.size > max_member:
                                 rows.append((paper, m.name, None, "too large"))
                             else:
                                 rows.append((paper, "/".join(p for p in parts if p not in ("", ".")), t.extractfile(m).read(), None))

@@ -21,22 +21,49 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = CATAL
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """The Parquet table at path, or an empty one of that schema where there is none; other errors are raised."""
+    recover(spark, path)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete the table at path, with what a replacement may have left beside it; a missing one is no error."""
+    for s in ("", ".new", ".old"):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + s)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish a replacement that broke off between its two renames.
+
+    Then there is no table at path: a new one that was written whole takes its place, else the old one comes back.
+    """
+    jvm = spark.sparkContext._jvm
+    fresh, target, old = (jvm.org.apache.hadoop.fs.Path(path + s) for s in (".new", "", ".old"))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target) and fs.exists(old):
+        whole = fs.exists(jvm.org.apache.hadoop.fs.Path(path + ".new/_SUCCESS"))
+        fs.rename(fresh if whole else old, target)
+
+
 def replace(df: DataFrame, path: str) -> None:
-    """Write df and put it in the place of the table at path, which df may read from."""
+    """Write df and put it in the place of the table at path, which df may read from.
+
+    The old table is deleted only when the new one is in place; ``recover`` mends a replacement that broke off.
+    """
+    recover(df.sparkSession, path)
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     fresh, target, old = (jvm.org.apache.hadoop.fs.Path(path + s) for s in (".new", "", ".old"))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     df.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(old, True)
     if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(fresh, target)
+        fs.delete(old, True)
+        if not fs.rename(target, old):
+            raise OSError(f"{path} can't be moved")
+    if not fs.rename(fresh, target):
+        raise OSError(f"{path}.new can't be moved")
     fs.delete(old, True)
 
 

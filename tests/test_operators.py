@@ -206,3 +206,79 @@ def test_slots_and_embedding(spark):
     assert embedding.pair(data, abs_, 3).first().context == "def" and embedding.pair(data, abs_, 3, from_end=False).first().context == "abc"
     with pytest.raises(ValueError):
         embedding.pair(data, abs_, 3, strict=True)
+
+
+def test_a_broken_replacement_is_mended(spark, tmp_path):
+    at, schema = str(tmp_path / "t"), "k int"
+    write = lambda k, to: spark.createDataFrame([(k,)], schema).write.parquet(to)
+    keys = lambda: sorted(r.k for r in tables.read_or_empty(spark, at, schema).collect())
+    write(1, at + ".old")  # broke off after the first rename, before the new table was whole
+    assert keys() == [1]
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    write(2, at + ".new")  # broke off between the renames
+    assert keys() == [2]
+    tables.replace(tables.read_or_empty(spark, at, schema).unionByName(spark.createDataFrame([(3,)], schema)), at)
+    assert keys() == [2, 3]
+    tables.delete(spark, at)
+    assert keys() == []
+
+
+def test_training_in_batches_goes_on_where_it_was(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, *[[float(x) for x in rng.standard_normal(6)] for _ in range(3)]) for i in range(200)]
+    v = spark.createDataFrame(rows, "anchor long, a array<double>, p array<double>, n array<double>")
+    whole, log = learn.train(v, 6, 4, batch=32, evaluate=lambda w: float(w.sum()), eval_every=2)
+    half, first = learn.train(v, 6, 2, batch=32)
+    rest, second = learn.train(v, 6, 2, batch=32, start=first)
+    assert rest == pytest.approx(whole) and [r.epoch for r in second.orderBy("epoch").collect()] == [2, 3]
+    assert [r.accuracy is not None for r in log.orderBy("epoch").collect()] == [False, True, False, True]
+    assert learn.loss_and_gradient(v, whole, 0.6, "euclidean")[1] < learn.loss_and_gradient(v, np.zeros(6), 0.6, "euclidean")[1]
+    many, _ = learn.train(v, 6, 2, batch=16, workers=3)
+    assert np.isfinite(many).all()
+    assert learn.train(v.limit(0), 6, 1)[0] == pytest.approx(np.zeros(6))
+
+
+def test_a_stored_study_goes_on(spark, tmp_path):
+    at, seen = str(tmp_path / "study"), []
+    objective = lambda p: iter([seen.append(p) or p["margin"]])
+    search.run(spark, objective, 2, path=at)
+    assert search.run(spark, objective, 3, path=at).count() == 3 and len(seen) == 3
+    assert search.study(spark, at).count() == 3 and search.study(spark, at, continue_existing=False).count() == 0
+
+
+def test_metrics_have_one_registry():
+    from marginalia.functions import vectors
+
+    a, b, w = np.array([[0.0, 1.0]]), np.array([[3.0, 5.0], [0.0, 1.0]]), np.array([1.0, 2.0])
+    with pytest.raises(ValueError):
+        vectors.kernel("other", a, b, w)
+    vectors.METRICS["cubic"] = vectors.Metric(lambda d: F.abs(d * d * d), lambda d: np.abs(d**3))
+    try:
+        assert vectors.kernel("cubic", a, b, w).tolist() == [[27.0 + 128.0, 0.0]]
+        assert learn.distances("cubic", a, b[:1], w)[0].tolist() == [155.0]
+    finally:
+        del vectors.METRICS["cubic"]
+
+
+def test_nearest_equals_brute_force_with_ties(spark):
+    from marginalia.functions import vectors
+
+    rng = np.random.default_rng(8)
+    v = np.round(rng.standard_normal((120, 4)), 1)
+    v[50:60] = v[40]
+    rows = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "target long, vec array<double>")
+    for metric in vectors.METRICS:
+        d = np.round(vectors.kernel(metric, v, v, np.ones(4)), 9)
+        np.fill_diagonal(d, np.inf)
+        want = {i: np.lexsort((np.arange(120), d[i]))[:7].tolist() for i in range(120)}
+        got = {}
+        for r in evaluate.nearest(rows.withColumnRenamed("target", "query"), rows, 7, metric, width=4).orderBy("query", "rank").collect():
+            got.setdefault(r.query, []).append(r.target)
+        assert got == want
+
+
+def test_deep_inputs_are_named(spark):
+    files = spark.createDataFrame([("p", "main.tex", "\\documentclass{a}\\input{b}")] + [("p", f"{a}.tex", f"{a}\\input{{{b}}}") for a, b in zip("bcd", "cde")] + [("p", "e.tex", "e")], "paper_id string, path string, text string")
+    assert projects.bodies(files).first().body.endswith("bcde")
+    assert projects.bodies(files, 3).first().body.endswith("bc") and [r.path for r in projects.too_deep(files, 3).collect()] == ["d.tex"]
+    assert projects.too_deep(files).count() == 0

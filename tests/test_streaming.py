@@ -13,6 +13,31 @@ def test_update_stream_equals_one_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == df.distinct().count()
 
 
+def test_a_source_may_come_in_several_batches(spark, tmp_path):
+    rows = [("s", "t", f"c{i}") for i in range(4)] + [("r", None, "c"), ("r", None, "c")]
+    df = spark.createDataFrame(rows, ingest.DATASET)
+    for i in range(3):
+        spark.createDataFrame(rows[i::3], ingest.DATASET).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: spark.read.schema(ingest.DATASET).parquet(str(tmp_path / "out"))
+    stream = spark.readStream.schema(ingest.DATASET).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ingest.update_dataset(stream, str(tmp_path / "out"), str(tmp_path / "log"))
+    assert read().exceptAll(df.distinct()).count() == 0 and read().count() == 5
+    # a later run adds nothing to sources that the table has, and whole new sources
+    spark.createDataFrame([("s", "t", "late"), ("new", "t", "a"), ("new", "t", "b")], ingest.DATASET).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ingest.update_dataset(stream, str(tmp_path / "out"), str(tmp_path / "log"))
+    assert read().count() == 7 and read().where("source_id = 's'").count() == 4
+
+
+def test_moving_is_taken_up_again(spark, tmp_path):
+    out = tmp_path / "out"
+    spark.createDataFrame([("a", "t", "1")], ingest.DATASET).write.parquet(str(out))
+    spark.createDataFrame([("b", "t", "2")], ingest.DATASET).write.parquet(str(out / "_run" / "batch-0"))
+    (out / "_run" / "_ENDED").write_text("")
+    ingest._publish(spark, str(out))
+    ingest._publish(spark, str(out))
+    assert sorted(r.source_id for r in spark.read.schema(ingest.DATASET).parquet(str(out)).collect()) == ["a", "b"] and not (out / "_run").exists()
+
+
 def test_archive_stream(spark, tmp_path):
     (tmp_path / "a").mkdir()
     for n in ("1.tar", "2.TAR", "x.txt"):
