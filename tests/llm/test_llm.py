@@ -356,3 +356,19 @@ def test_subjects(spark):
     assert right / len(docs) > 0.95 and not {900, 901, 902} & set(got) and got[903] == got[5]
     assert subjects.found(df.limit(0), kinds, lab).count() == 0
     assert subjects.found(df, kinds, lab.limit(0)).count() >= 0
+
+
+def test_notes_without_subject_teach_nothing(spark):
+    r = random.Random(6)
+    words = {"phys": ["laser", "plasma", "photon", "magnet"], "law": ["court", "appeal", "statute", "judge"]}
+    notes = ["The referees were thanked for their reports.", "Pages were set anew on request.", "A later version replaced the record."]
+    docs = [(i, " ".join(f"The {r.choice(words[s])} met the {r.choice(words[s])} {r.choice(['again', 'there', 'once'])}." for _ in range(6)), s) for i in range(300) for s in [r.choice(sorted(words))]]
+    rows = [d[:2] for d in docs] + [(1000 + i, " ".join(r.sample(notes, 1 + i % 3))) for i in range(200)]
+    # chance ties a word of the notes to one subject
+    rows[0] = (0, rows[0][1] + " The record was set.")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kinds = spark.createDataFrame([("phys", "Physics", "Lasers."), ("law", "Law", "Courts.")], "subject string, label string, about string")
+    lab = spark.createDataFrame([(i, s) for i, _, s in docs[:80]], "doc_id long, subject string")
+    got = {(x.doc_id, x.subject) for x in subjects.found(df, kinds, lab).collect()}
+    assert not [x for x in got if x[0] >= 1000]
+    assert len(got & {(i, s) for i, _, s in docs}) > 0.97 * len(docs)
