@@ -13,6 +13,10 @@ to little more than one place. Cells and blocks are split by deeper hyperplanes,
 then by hash, so that none exceeds a few thousand vectors whatever share of
 the data lies together.
 
+Equal vectors are one node of the graph, named by the smallest of their ids, and are told
+apart again at the end (``told_apart``). A node takes part in the lists of at most ``REVERSE``
+of those that name it, the most similar; it is in all of their own lists still.
+
 Stated loss: at least 0.98 of the true five neighbours are found (measured
 against brute force by the tests and in the README).
 
@@ -26,6 +30,7 @@ min(k, n - 1) neighbours.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -43,6 +48,8 @@ GRAPH, JOINED, PROPOSED = 12, 8, 7
 ROUNDS, DEPTH, SEED = 3, 30, 11
 #: Nearest by which nodes find their home; the farther ones lead out of what lies together.
 LABELLED = 4
+#: Most nodes that name a node and are joined at it, the most similar of them.
+REVERSE = 64
 #: Least number of tables of hyperplane cells.
 TABLES = 6
 #: Standard errors of a sketch that a candidate may lie below the k-th best.
@@ -78,7 +85,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def sketches(vectors: DataFrame, width: int, tables: int) -> DataFrame:
-    """``(id, sketch, codes)``: one row an id; codes are the hyperplane sides of each table, first side highest."""
+    """``(id, same, sketch, codes)`` of all rows; codes are the hyperplane sides of each table, first side highest; same tells vectors apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _projection(width, tables)
@@ -89,9 +96,41 @@ def sketches(vectors: DataFrame, width: int, tables: int) -> DataFrame:
             s = s / np.maximum(np.abs(s).max(1, keepdims=True), 1e-9)
             codes = ((y[:, DIM:] > 0).reshape(len(ids), tables, DEPTH) * (1 << np.arange(DEPTH - 1, -1, -1, dtype=np.int64))).sum(2).astype(np.int32)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), tables).cast(pa.list_(pa.int32())) if len(ids) else pa.array([], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), _binary(np.round(s * 127).astype(np.int8).view(np.uint8)), lists], names=["id", "sketch", "codes"])
+            same = pa.array([blake2b(x.tobytes(), digest_size=16).digest() for x in m], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), same, _binary(np.round(s * 127).astype(np.int8).view(np.uint8)), lists], names=["id", "same", "sketch", "codes"])
+
+    return vectors.mapInArrow(run, "id long, same binary, sketch binary, codes array<int>")
+
+
+def distinct(raw: DataFrame) -> DataFrame:
+    """``(id, sketch, codes)``: one row for each different vector, under the smallest of its ids."""
+    one = raw.groupBy("same").agg(F.min("id").alias("id"), F.min_by(F.struct("sketch", "codes"), "id").alias("x"))
+    return one.select("id", "x.sketch", "x.codes")
 
-    return vectors.mapInArrow(run, "id long, sketch binary, codes array<int>").dropDuplicates(["id"])
+
+def copies(raw: DataFrame, k: int) -> DataFrame:
+    """``(id, node, ids)`` of the ids whose vector has several: its node in the graph, and the k + 1 smallest of the ids."""
+    ids = raw.select("same", "id").distinct()
+    first = Window.partitionBy("same").orderBy("id")
+    least = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
+    several = least.groupBy("same").agg(F.sort_array(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
+    return ids.join(several, "same").select("id", F.col("ids")[0].alias("node"), "ids")
+
+
+def told_apart(lists: DataFrame, same: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
+    """Candidate lists of nodes to those of all ids: an id's own copies first, then the copies of each neighbour, ties to the smaller id."""
+    same = materialize(same, "copies")
+    if same.isEmpty():
+        return lists
+    several = same.select(F.col("node").alias("nb"), "ids").dropDuplicates(["nb"])
+    near = lists.select("id", F.explode_outer("cand").alias("c")).select("id", F.col("c")["sim"].alias("sim"), F.col("c")["nb"].alias("nb")).join(several, "nb", "left")
+    near = near.select("id", F.explode(F.transform(F.coalesce("ids", F.array("nb")), lambda i: F.struct((-F.col("sim")).alias("far"), i.alias("nb")))).alias("c")).where(F.col("c")["nb"].isNotNull())
+    near = near.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("c")), 1, k).alias("near"))
+    nodes = nodes.select("id").join(near, "id", "left").withColumnRenamed("id", "node")
+    ids = nodes.join(same.select("id", "node", "ids"), "node", "left").select(F.coalesce("id", "node").alias("id"), "near", "ids")
+    own = F.transform(F.filter(F.coalesce("ids", F.array().cast("array<bigint>")), lambda i: i != F.col("id")), lambda i: F.struct(F.lit(1.0).cast("float").alias("sim"), i.alias("nb")))
+    others = F.transform(F.coalesce("near", F.array().cast("array<struct<far:float,nb:bigint>>")), lambda c: F.struct((-c["far"]).alias("sim"), c["nb"].alias("nb")))
+    return ids.select("id", F.slice(F.concat(own, others), 1, k).alias("cand"))
 
 
 def whole_bytes(vectors: DataFrame, width: int) -> DataFrame:
@@ -193,7 +232,9 @@ def _by_block(graph: DataFrame, n: int, k: int, mutual: bool, bytes_: DataFrame,
     near = F.transform(F.slice("cand", 1, k), lambda x: x["nb"])
     placed = graph.select("id", near.alias("ms")).join(homes, "id").select("block", F.col("id").alias("u"), "ms")
     if mutual:
-        back = graph.select(F.col("id").alias("m"), F.explode(near).alias("id")).join(homes, "id")
+        named = graph.select(F.col("id").alias("m"), F.explode(F.slice("cand", 1, k)).alias("c")).select("m", F.col("c")["nb"].alias("id"), F.col("c")["sim"].alias("sim"))
+        order = Window.partitionBy("id").orderBy(F.desc("sim"), "m")
+        back = named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= REVERSE).select("m", "id").join(homes, "id")
         placed = placed.unionByName(back.select("block", F.col("id").alias("u"), F.array("m").alias("ms")))
     placed = materialize(placed, "placed")
     needed = placed.select("block", F.explode(F.concat(F.array("u"), "ms")).alias("id")).groupBy("id").agg(F.collect_set("block").alias("blocks"))
@@ -241,19 +282,6 @@ def _local_join(edges: pa.Table, nodes: pa.Table) -> pa.Table:
             left.append(np.broadcast_to(members[:, :, None], near.shape)[keep])
             right.append(np.take_along_axis(np.broadcast_to(members[:, None, :], s.shape), near, 2)[keep])
             sims.append(sim[keep])
-    # a hub's members are joined in slices: each slice with itself and with the hub's nearest
-    for c in np.flatnonzero(count > 128):
-        mem = v[start[c] : start[c] + count[c]]
-        lead = mem[np.argsort(-(m[mem] @ m[centre[c]]))[:GRAPH]]
-        for a in range(0, len(mem), 512):
-            part = np.unique(np.concatenate([mem[a : a + 512], lead]))
-            s = m[part] @ m[part].T
-            np.fill_diagonal(s, -2)
-            k = min(GRAPH, len(part) - 1)
-            near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            left.append(np.repeat(part, k))
-            right.append(part[near].ravel())
-            sims.append(np.take_along_axis(s, near, 1).ravel())
     if not left:
         return _lists(np.zeros(0), np.zeros(0, int), np.zeros(0), np.zeros(0))
     a, b, s = np.concatenate(left), np.concatenate(right), np.concatenate(sims)
@@ -303,16 +331,18 @@ def usual_width(vectors: DataFrame) -> int:
     return got[0]["w"] if got else 0
 
 
-def build(vectors: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, int]:
-    """(graph ``(id, cand)`` by sketches, sketches, width) of ``(id, vec)`` rows."""
+def build(vectors: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, int, DataFrame]:
+    """(graph ``(id, cand)`` by sketches, sketches, width, sketches of all rows) of ``(id, vec)`` rows."""
     width = usual_width(vectors)
     if not width:
         spark = vectors.sparkSession
-        return spark.createDataFrame([], _CANDIDATES), spark.createDataFrame([], "id long, sketch binary, codes array<int>"), 0
+        none = spark.createDataFrame([], "id long, same binary, sketch binary, codes array<int>")
+        return spark.createDataFrame([], _CANDIDATES), none.drop("same"), 0, none
     # a cell deeper by one side holds a pair together less often, so tables grow with the logarithm of the rows
     rows = vectors.count()
     tables = max(TABLES, int(np.ceil(np.log2(max(2, rows / LEAF)))))
-    sk = materialize(sketches(spread(vectors), width, tables), "sketches")
+    raw = materialize(sketches(spread(vectors), width, tables), "raw")
+    sk = materialize(distinct(raw), "sketches")
     n = sk.count()
     cells = _cells(sk, tables, n)
     graph = materialize(_best(cells.groupBy("t", "cell").applyInArrow(_propose, _CANDIDATES)), "graph")
@@ -320,12 +350,12 @@ def build(vectors: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFram
         better = _by_block(graph, n, JOINED, True, sk, _local_join, _CANDIDATES)
         old, graph = graph, materialize(_best(graph.unionByName(better)), "graph")
         discard(old)
-    return graph, sk, width
+    return graph, sk, width, raw
 
 
 def nearest(vectors: DataFrame, k: int = 5, rounds: int = ROUNDS) -> DataFrame:
     """``(id, cand)``: the k most similar others of each vector, best first, measured on whole vectors."""
-    graph, _, width = build(vectors, rounds)
+    graph, sk, width, raw = build(vectors, rounds)
     if not width:
         return graph
     n = graph.count()
@@ -334,7 +364,9 @@ def nearest(vectors: DataFrame, k: int = 5, rounds: int = ROUNDS) -> DataFrame:
     last = F.coalesce(F.get("cand", k - 1)["sim"], F.lit(-1.0))
     error = lambda x: F.sqrt((F.pow(1 - last * last, F.lit(2.0)) + F.pow(1 - x * x, F.lit(2.0))) / DIM)
     graph = graph.select("id", F.filter("cand", lambda x: x["sim"] >= last - ERRORS * error(x["sim"])).alias("cand"))
-    return _by_block(graph, n, GRAPH, False, whole_bytes(spread(vectors), width), _measure(k), _CANDIDATES)
+    lists = _by_block(graph, n, GRAPH, False, whole_bytes(spread(vectors), width), _measure(k), _CANDIDATES)
+    # vectors whose only others are copies have no list yet
+    return told_apart(lists, copies(raw, k), k, sk)
 
 
 def collection(embedded: DataFrame) -> DataFrame:
@@ -389,5 +421,14 @@ def _pair_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def searched(embedded: DataFrame, every: int = 20, k: int = 5) -> DataFrame:
     """Greedy search over the graph of all vectors for the vectors whose id is divisible by ``every``."""
-    graph, sk, width = build(collection(embedded))
-    return search(graph, sk, sk.where(F.col("id") % every == 0), whole_bytes(spread(collection(embedded)), width), k)
+    graph, sk, width, raw = build(collection(embedded))
+    queries = raw.where(F.col("id") % every == 0).drop("same").dropDuplicates(["id"])
+    # one more than k, as a query that is no node itself meets its node
+    got = search(graph, sk, queries, whole_bytes(spread(collection(embedded)), width), k + 1)
+    same = materialize(copies(raw, k), "copies")
+    several = same.select(F.col("node").alias("vec_id"), "ids").dropDuplicates(["vec_id"])
+    every_copy = got.join(several, "vec_id", "left").select("query", "sim", F.explode(F.coalesce("ids", F.array("vec_id"))).alias("vec_id"))
+    own = same.where(F.col("id") % every == 0).select(F.col("id").alias("query"), F.lit(1.0).cast("float").alias("sim"), F.explode("ids").alias("vec_id"))
+    both = every_copy.unionByName(own).where(F.col("query") != F.col("vec_id")).groupBy("query", "vec_id").agg(F.max("sim").alias("sim"))
+    order = Window.partitionBy("query").orderBy(F.desc("sim"), "vec_id")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "vec_id", "sim")

@@ -147,7 +147,7 @@ def test_nearest_vectors_recall(spark, vectors):
 
 def test_greedy_search_recall(spark, vectors):
     v, df = vectors
-    graph, sk, width = neighbours.build(df)
+    graph, sk, width, _ = neighbours.build(df)
     q = sk.where("id % 20 = 0")
     hits = {}
     for r in neighbours.search(graph, sk, q, neighbours.whole_bytes(df, width)).collect():
@@ -156,6 +156,27 @@ def test_greedy_search_recall(spark, vectors):
     assert np.mean([len(brute(v, i) & x) / 5 for i, x in hits.items()]) >= 0.9
 
 
+def test_equal_vectors_are_one_node_and_come_apart_again(spark):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((300, 16)).round(2)
+    v[100:300] = v[100]  # two thirds of all are equal
+    v[20:23] = v[20]
+    df = spark.createDataFrame([(1000 + i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, vec array<float>")
+    _, sk, _, _ = neighbours.build(df)
+    assert sk.count() == 99
+    got = {r["id"]: [c["nb"] for c in r["cand"]] for r in neighbours.nearest(df, 5).collect()}
+    assert set(got) == set(range(1000, 1300))
+    assert got[1250] == [1100, 1101, 1102, 1103, 1104] and got[1101] == [1100, 1102, 1103, 1104, 1105]
+    assert got[1021][:2] == [1020, 1022] and len(set(got[1021])) == 5
+    e = spark.createDataFrame([(r["id"], r["vec"], r["id"], r["vec"]) for r in df.collect()], "ctx_id long, ctx_vec array<float>, abs_id long, abs_vec array<float>")
+    hits = {}
+    for r in neighbours.searched(e).collect():
+        hits.setdefault(r["query"], []).append(r["vec_id"])
+    assert set(hits) == set(range(1000, 1300, 20)) and sorted(hits[1200]) == [1100, 1101, 1102, 1103, 1104]
+    alone = df.where("id >= 1100")
+    assert {len(r["cand"]) for r in neighbours.nearest(alone, 5).collect()} == {5}
+
+
 def test_few_vectors(spark, vectors):
     _, df = vectors
     e = lambda rows: spark.createDataFrame(rows, "ctx_id long, ctx_vec array<float>, abs_id long, abs_vec array<float>")
