@@ -40,13 +40,13 @@ def p3_search(spark: SparkSession, d: str) -> DataFrame:
 def _clean(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for name, key, column in _FIELDS:
-        one = markup.clean(table(spark, d, name), [key], column).select(F.lit(column).alias("field"), F.col(key).alias("rec_id"), "has_markup", "kinds", "clean")
+        one = markup.clean(table(spark, d, name), [key], column).select(F.lit(column).alias("field"), F.col(key).alias("rec_id"), "has_markup", "kinds", "clean", "residue")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _clean(spark, d).where("has_markup").select("field", "rec_id")
+    return _clean(spark, d).where("residue").select("field", "rec_id")
 
 
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:

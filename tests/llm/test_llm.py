@@ -203,6 +203,14 @@ MARKED = {
     "```\nrun < x\n```\ntail": "```\nrun < x\n```\ntail",
     "In Notes Est.~Inf. 9": "In Notes Est. Inf. 9",
     "<i>never closed": "never closed",
+    "&Sigma; &#945;&#x3b8; &theta;&nbsp;x &nosuch; &#1; &amp;lt;": "Σ αθ θ x &nosuch; &#1; &lt;",
+    "| a | b |\n|---|:-:|\n| 1 | 2 |": "a, b\n1, 2",
+    "{| class=\"w\"\n|+ Cap\n! a !! b\n|-\n| 1 || 2\n|}\nend": "Cap\na, b\n1, 2\nend",
+    "Aim\n=====\ntext\nWay\n---\nmore": "# Aim\ntext\n## Way\nmore",
+    "a $" + "x+" * 300 + "y$ b": "a $" + "x+" * 300 + "y$ b",
+    "so $a +\nb$ is": "so $a +\nb$ is",
+    "**" + "many words " * 60 + "end** of it": "many words " * 60 + "end of it",
+    "``" + "many words " * 60 + "end'' of it": "“" + "many words " * 60 + "end” of it",
 }
 PROSE = ["p < 0.01 and n > 30", "R&D budgets", "5 * 3 * 2 points", "costs $4 to $6 in total", "max_step_size", "in {0, 1}.", "(*) marks", "entry #3 [12, 31]", "degree is <k> = 4.2", "-- that is, almost none.", "We keep 95% of them; 5% are lost.", "", " ", None, "a~ b", "don't; it's"]
 
@@ -211,11 +219,11 @@ def test_markup(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*MARKED, *PROSE])], "k int, t string").withColumn("clean", F.lit(0))
     got = {r.k: r for r in markup.clean(df, ["k"], "t").collect()}
     for i, (t, want) in enumerate(MARKED.items()):
-        assert got[i].has_markup and got[i].kinds, t
+        assert got[i].has_markup and got[i].kinds and got[i].residue, t
         if want is not None:
             assert got[i].clean == want, t
     for i, t in enumerate(PROSE, len(MARKED)):
-        assert not got[i].has_markup, t
+        assert not got[i].has_markup and not got[i].residue, t
         assert got[i].clean == (None if t is None else " ".join(t.split()))
     assert markup.clean(df.limit(0), ["k"], "t").count() == 0
 
