@@ -6,7 +6,7 @@ spellings of one initial share is not discarded but refined with the first lette
 and slip keys (``slip_keys``) meet the rest, so no pair depends on the size; pairs are compared by their longest-common-subsequence ratio. A
 spelling joins the better attested one it is close to, unless bibliography
 entries attest both of them. Within one last name the given names (full, short,
-initials, nicknames learned from quoted forms) tell people apart, in one pass
+initials, nicknames learned from quoted forms and from lists of equal titles) tell people apart, in one pass
 over the distinct names.
 
 A bare last name stands for the first authors of the works it is typed for: the
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.functions.names import plain, tokens
-from marginalia.functions.similarity import lcs_ratio
+from marginalia.functions.similarity import lcs_length, lcs_ratio
 from marginalia.llm.linkage import parse_entry, split_names
 from marginalia.llm.markup import strip_markup
 from marginalia.operators.packed import PARTICLES, explode_packed
@@ -46,9 +46,6 @@ CLOSE = 0.8
 #: Entries in which a spelling must stand to count as attested.
 ATTESTED = 2
 
-# Common short forms of given names, for corpora in which no quoted form teaches them.
-NICKNAMES = {"bob": "robert", "rob": "robert", "bill": "william", "will": "william", "dick": "richard", "rick": "richard", "ned": "edward", "ted": "edward", "ed": "edward", "peggy": "margaret", "meg": "margaret", "greta": "margaret", "liz": "elisabeth", "lisa": "elisabeth", "beth": "elisabeth", "betty": "elisabeth", "jim": "james", "jack": "john", "tony": "anthony", "tom": "thomas", "mike": "michael", "mick": "michael", "kate": "katharina", "kathy": "katharina", "sasha": "alexander", "alex": "alexander", "kees": "cornelius", "nacho": "ignacio", "pepa": "josefina", "pepe": "jose", "hank": "henry", "harry": "henry", "tina": "christina", "bella": "isabella", "hanna": "johanna", "babs": "barbara", "debbie": "deborah", "penny": "penelope", "vicky": "victoria", "roz": "rosalind", "kostya": "konstantin", "tim": "timothy", "jon": "jonathan", "max": "maximilian", "leo": "leopold", "sam": "samuel", "ben": "benjamin", "greg": "gregor", "andi": "andreas", "gabi": "gabriela", "susi": "susanna", "tess": "teresa", "fred": "frederik", "theo": "theodor", "nat": "natalia"}
-
 _COLLAB = re.compile(r"\b(?:collaborations?|colaborations?|coll|collab|team|consortium)\b")
 _QUOTED = re.compile(r"[\"“”](\w[\w.' -]*)[\"“”]")
 _SHORT = frozenset(PARTICLES)
@@ -125,11 +122,20 @@ def orient(names: DataFrame) -> DataFrame:
     return pairs.select("name", "n", F.when(turn, F.col("given")).otherwise(F.col("last")).alias("last"), F.when(turn, F.col("last")).otherwise(F.col("given")).alias("given"), "kind", "nick")
 
 
-def nicknames(names: DataFrame) -> DataFrame:
-    """``(nick, given)`` learned from quoted forms, with the fixed ones."""
-    learned = names.where((F.col("nick") != "") & (F.col("kind") == "full")).select("nick", "given").distinct()
-    fixed = names.sparkSession.createDataFrame(sorted(NICKNAMES.items()), "nick string, given string")
-    return learned.unionByName(fixed).distinct()
+def nicknames(names: DataFrame, lists: DataFrame) -> DataFrame:
+    """``(nick, given)`` learned from quoted forms, and from author lists ``(title, typed)`` of one title set side by side.
+
+    Two full given names at one place of equal titles, with one last name, are one name if they are so for two
+    different last names at least; the shorter one is the nickname.
+    """
+    quoted = names.where((F.col("nick") != "") & (F.col("kind") == "full")).select("nick", "given").distinct()
+    places = lists.select("title", F.posexplode("typed").alias("k", "p")).where("p.kind = 'full'").select("title", "k", "p.last", "p.given").distinct()
+    same = places.withColumnRenamed("given", "nick").join(places, ["title", "k", "last"])
+    same = same.where((F.length("nick") < F.length("given")) | ((F.length("nick") == F.length("given")) & (F.col("nick") < F.col("given"))))
+    seen = same.groupBy("nick", "given").agg(F.count_distinct("last").alias("lasts")).where("lasts >= 2")
+    # what is spelled alike is a slip, and is met as one
+    seen = seen.withColumn("ratio", lcs_ratio("nick", "given")).where(F.col("ratio") < 100 * CLOSE)
+    return quoted.unionByName(seen.select("nick", "given")).distinct()
 
 
 def _slips(n: int) -> int:
@@ -203,7 +209,7 @@ def people(catalogue_raw: DataFrame, refs: DataFrame) -> DataFrame:
     works = catalogue_raw.select("row_id", F.col("title"))
     works = works.select("row_id", F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.col("title"), r"[^\p{ASCII}]", "?"), r"[^a-zA-Z0-9]+", " "))).alias("title")).where(F.length("title") > 25)
     lists = items.join(names.select("name", "last", "given", "kind"), "name").groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "last", "given", "kind"))).alias("typed"))
-    works = works.join(lists, "row_id").groupBy("title", "typed").agg(F.count(F.lit(1)).alias("n"))
+    works = materialize(works.join(lists, "row_id").groupBy("title", "typed").agg(F.count(F.lit(1)).alias("n")), "works")
     lined = entries.where(F.length("title") > 25).groupBy("title", "authors").agg(F.count(F.lit(1)).alias("m")).join(works, "title")
     lined = lined.where((F.size("authors") > 0) & (F.size("authors") <= F.size("typed")))
     sides = lined.select(F.posexplode(F.arrays_zip("authors", F.slice("typed", 1, F.size("authors")).alias("typed"))).alias("k", "p"), "m")
@@ -234,7 +240,7 @@ def people(catalogue_raw: DataFrame, refs: DataFrame) -> DataFrame:
     def settle(df: DataFrame) -> DataFrame:
         return df.join(moves, ["last", "initial"], "left").withColumn("last", F.coalesce("best", "last")).drop("best")
 
-    nick = nicknames(names).groupBy("nick").agg(F.collect_set("given").alias("long")).withColumnRenamed("nick", "given")
+    nick = nicknames(names, works).groupBy("nick").agg(F.collect_set("given").alias("long")).withColumnRenamed("nick", "given")
     mine = settle(names.where(F.length("last") > 1).withColumn("initial", initial)).join(nick, "given", "left")
     mine = mine.select("last", "name", "n", "given", F.col("kind"), F.coalesce("long", F.array().cast("array<string>")).alias("long"))
     firsts = entries.where(F.col("name").isNotNull() & (F.trim("name") != "") & (F.size("authors") > 0)).select("name", F.col("authors")[0].alias("p"))
@@ -292,13 +298,7 @@ def _close(a: str, b: str) -> bool:
         return True
     if a[:1] != b[:1] and a[1:] != b[1:] or abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 4:
         return a[1:] == b or b[1:] == a if min(len(a), len(b)) >= 4 else False
-    prev = [0] * (len(b) + 1)
-    for x in a:
-        row = [0]
-        for k, y in enumerate(b):
-            row.append(prev[k] + 1 if x == y else max(prev[k + 1], row[k]))
-        prev = row
-    return 200 * prev[-1] >= 80 * (len(a) + len(b))
+    return 200 * lcs_length(a, b) >= 100 * CLOSE * (len(a) + len(b))
 
 
 def _tell_apart(g: list) -> list[tuple[str, str]]:

@@ -51,6 +51,13 @@ def test_names_of_one_person(spark):
     assert people.found(raw.limit(0), refs.limit(0)).count() == 0
 
 
+def test_nicknames_are_learned_from_lists_of_one_title(spark):
+    rows = [(1, f"{t} of a title that is long enough", [(1, "", last, g, "full")]) for t, last, g in [("A", "x", "robert"), ("A", "x", "bob"), ("B", "y", "robert"), ("B", "y", "bob"), ("C", "z", "anna"), ("C", "z", "ute"), ("D", "x", "robert"), ("D", "x", "rober"), ("E", "y", "robert"), ("E", "y", "rober")]]
+    lists = spark.createDataFrame(rows, "row_id long, title string, typed array<struct<pos:int,name:string,last:string,given:string,kind:string>>")
+    names = spark.createDataFrame([("Q", "last", "margarete", "full", "gretel")], "name string, last string, given string, kind string, nick string")
+    assert {(r.nick, r.given) for r in people.nicknames(names, lists).collect()} == {("bob", "robert"), ("gretel", "margarete")}
+
+
 def test_name_parsing():
     assert people.parse_name("Foo, A. B.")[:3] == ("foo", "a", "initial")
     assert people.parse_name("A.Foo")[:3] == ("foo", "a", "initial")
