@@ -2,9 +2,11 @@
 
 Method: a code-page swap is a substitution cipher over the non-ASCII signs of a
 word. Each word has a hidden swap (none, or one of the families below); swap
-weights and a character bigram model are learned by expectation-maximization
+weights, the families' maps and a character bigram model are learned by expectation-maximization
 over the whole corpus, and each body then adapts the swap weights to itself (the
-body is the source). The maps of the families are those of their code pages. A
+body is the source). The maps start from those of the code pages, which are their prior: in
+the E-step a sign of a misread word may be any letter, weighted by the bigrams of its neighbours, and
+an entry moves where the expected letters outweigh the page's own (``moved``). A
 body with words that no family explains gets a free family: its own map, learned
 by expectation-maximization from the bigrams of the neighbours (``free_map``), so
 single-byte pages outside the list are found too. Maps are applied with
@@ -49,6 +51,8 @@ UTF8_BONUS = 2.0
 #: A word does not count as evidence for itself, up to so many times.
 RARE = 3.0
 FREE = "free map"
+#: Prior share of a page's own letter for a sign, and the expected occurrences it starts with, when an entry may move.
+OWN_LETTER, OWN_COUNT = 0.9, 3.0
 #: Rounds of a free map's learning; the log cost of an entry that moves; the least log gain of a whole map, net of its entries, and of a word.
 FREE_ROUNDS, FREE_ENTRY, FREE_MAP, FREE_WORD = 8, 5.0, 12.0, 4.0
 #: Distinct words that a free map must restore, and how often the model must hold a letter for a sign to stand for it.
@@ -135,9 +139,28 @@ class Model:
         self._logs: dict[str, float] = {}
         self.letters = sorted(c for c, n in self.firsts.items() if c > "\x9f" and c not in (OTHER, "\ufffd") and n >= FREE_LETTER)
 
-    def score(self, word: str, without: float = 0.0) -> float:
-        """Log likelihood of a word with its edges; ``without`` counts of it are taken out of the model first."""
-        w, total = EDGE + "".join(c if c in _KNOWN else OTHER for c in word) + EDGE, 0.0
+        self.place = {c: i for i, c in enumerate(self.letters)}
+        self._after: dict[str, np.ndarray] = {}
+        self._before: dict[str, np.ndarray] = {}
+
+    def _near(self, memo: dict[str, np.ndarray], c: str, first: bool) -> np.ndarray:
+        if c not in memo:
+            c_ = c if c in _KNOWN else OTHER
+            pairs = [(c_, x) if first else (x, c_) for x in self.letters]
+            memo[c] = np.array([(self.bigrams.get(a + b, 0.0) + SMOOTH) / (self.firsts.get(a, 0.0) + SMOOTH * self.size) for a, b in pairs])
+        return memo[c]
+
+    def after(self, c: str) -> np.ndarray:
+        """Probability of each letter behind c."""
+        return self._near(self._after, c, True)
+
+    def before(self, c: str) -> np.ndarray:
+        """Probability of c behind each letter."""
+        return self._near(self._before, c, False)
+
+    def score(self, word: str, without: float = 0.0, edged: str | None = None) -> float:
+        """Log likelihood of a word with its edges (blanks, or as given); ``without`` counts of it are taken out of the model first."""
+        w, total = "".join(c if c in _KNOWN else OTHER for c in edged) if edged else _edged(word), 0.0
         for k in range(len(w) - 1):
             pair = w[k : k + 2]
             got = self._logs.get(pair) if not without else None
@@ -189,6 +212,37 @@ def _start_weights() -> dict[str, float]:
     return {f: PRIOR_RIGHT if f == IDENTITY else rest for f in FAMILIES}
 
 
+def letters_meant(word: str, reading: str, model: Model) -> list[tuple[str, np.ndarray]]:
+    """For each sign of a misread word, how likely each of the model's letters is, by its neighbours in the reading."""
+    letters, r, out = model.letters, EDGE + reading + EDGE, []
+    for i, (a, own) in enumerate(zip(word, reading), 1):
+        if a <= "\x7f" or not letters:
+            continue
+        q = model.after(r[i - 1]) * model.before(r[i + 1]) * ((1 - OWN_LETTER) / max(len(letters) - 1, 1))
+        rest = 0.0
+        if own in model.place:
+            q[model.place[own]] *= OWN_LETTER * max(len(letters) - 1, 1) / (1 - OWN_LETTER)
+        else:  # a letter that the corpus does not hold
+            rest = OWN_LETTER * math.exp(model.score(own, edged=r[i - 1] + own + r[i + 1]))
+        out.append((a, q / max(q.sum() + rest, 1e-300)))
+    return out
+
+
+def moved(table: dict[int, str], meant: dict[str, dict[str, float]]) -> dict[int, str]:
+    """A map after its M-step: signs whose expected letter outweighs the one they have take it, unless another sign has it with more right.
+
+    meant: expected occurrences of the letters of each sign.
+    """
+    out = dict(table)
+    weight = {a: {**c, table[ord(a)]: c.get(table[ord(a)], 0.0) + OWN_COUNT} for a, c in meant.items() if ord(a) in table}
+    for a, c in sorted(weight.items(), key=lambda x: -max(x[1].values())):
+        best = max(c, key=lambda k: (c[k], k))
+        holders = [chr(b) for b, k in out.items() if k == best and chr(b) != a]
+        if best != out[ord(a)] and all(weight.get(h, {}).get(best, OWN_COUNT) < c[best] for h in holders):
+            out[ord(a)] = best
+    return out
+
+
 def learn(texts: DataFrame, column: str, rounds: int = ROUNDS) -> Model:
     """Learn swap weights and bigrams from all texts. An empty table gives the start model."""
     words = (
@@ -220,19 +274,31 @@ def learn(texts: DataFrame, column: str, rounds: int = ROUNDS) -> Model:
                         if p < 1e-4:
                             continue
                         total["f", f] += p * n
+                        if p >= 0.5 and f in m.tables and len(r) == len(w):
+                            meant = letters_meant(w, r, m)
+                            for a, q in meant:
+                                for j in np.flatnonzero(q > 0.01):
+                                    total["m", f"{f}\t{a}{m.letters[j]}"] += p * n * float(q[j])
+                            # the letters that are meant are what the word teaches, not those that the map has so far
+                            to = {ord(a): m.letters[int(q.argmax())] for a, q in meant if q.max() > 0.5}
+                            r = "".join(to.get(ord(a), c) if a != c else c for a, c in zip(w, r))
                         for k, v in _pairs([r], [p * n]).items():
                             total["b", k] += v
             if total:
                 yield pd.DataFrame({"kind": [k[0] for k in total], "key": [k[1] for k in total], "n": [float(v) for v in total.values()]})
 
         got = odd.mapInPandas(expect, "kind string, key string, n double").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
-        seen: dict[str, Counter] = {"f": Counter(), "b": Counter()}
+        seen: dict[str, Counter] = {"f": Counter(), "b": Counter(), "m": Counter()}
         for r in got:
             seen[r["kind"]][r["key"]] += r["n"]
         total = sum(seen["f"].values()) or 1.0
         prior = _start_weights()
         weights = {f: (seen["f"].get(f, 0.0) + 20 * prior[f]) / (total + 20) for f in FAMILIES}
-        model = Model(fixed + seen["b"], weights, model.tables)
+        meant: dict[str, dict[str, dict[str, float]]] = {}
+        for key, n in seen["m"].items():
+            f, _, pair = key.partition("\t")
+            meant.setdefault(f, {}).setdefault(pair[0], {})[pair[1]] = n
+        model = Model(fixed + seen["b"], weights, {f: moved(t, meant.get(f, {})) for f, t in model.tables.items()})
     return model
 
 

@@ -123,6 +123,21 @@ def test_unknown_code_page_is_learned_from_the_body(spark):
     assert got[100].restored == got[101].restored == texts[0]
 
 
+def test_entries_of_a_map_move(spark):
+    clean = ["Größere Öffnungen führen zu Überlagerung für alle.", "Später wären mögliche Änderungen für Gefäße nötig.", "Der größte Körper löst später öfter Brüche aus und prüft Gewölbe."]
+    text = " ".join(clean)
+    # a page that is cp1251 but for one sign: what it reads as another letter stands for the a with dots
+    wrong = text.encode("cp1252").decode("cp1251").replace("д", "щ")
+    rows = [(i, f"{text} {i}") for i in range(60)] + [(100 + i, f"{wrong} {i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "body_id long, body string")
+    model = encoding.learn(df, "body")
+    table, start = model.tables["cp1252 as cp1251"], encoding.swap_tables()["cp1252 as cp1251"]
+    assert start[ord("щ")] == "ù" and table[ord("щ")] == "ä"
+    assert {k: v for k, v in table.items() if k != ord("щ")} == {k: v for k, v in start.items() if k != ord("щ")}
+    got = {r.body_id: r for r in encoding.restore(df, "body_id", "body", model).collect()}
+    assert all(got[k].garbled == (k >= 100) for k in got) and got[100].restored == f"{text} 0"
+
+
 # 3 vectors
 
 
