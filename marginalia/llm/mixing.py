@@ -23,12 +23,13 @@ empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from marginalia.llm.tokens import count_tokens
+from marginalia.plans.running import running
 from marginalia.plans.runtime import materialize
 
 BLOCK = 2048
@@ -38,20 +39,6 @@ GOLDEN = 0.6180339887498949
 SEED = 17
 
 
-def running(df: DataFrame, group: list[str], order: list[Column], cell: Column, size: Column) -> DataFrame:
-    """df with ``__before``: the sum of size over the rows before, in each group by (cell, order).
-
-    cell is a number of bounded range that grows with order, e.g. a piece of the shuffle hash.
-    """
-    cells = df.withColumn("__cell", cell).withColumn("__size", size)
-    inner = Window.partitionBy(*group, "__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy(*group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cells.groupBy(*group, "__cell").agg(F.sum("__size").alias("__sum"))
-    start = sums.withColumn("__start", F.coalesce(F.sum("__sum").over(outer), F.lit(0))).drop("__sum")
-    out = cells.withColumn("__in", F.coalesce(F.sum("__size").over(inner), F.lit(0))).join(start, [*group, "__cell"])
-    return out.withColumn("__before", F.col("__in") + F.col("__start")).drop("__cell", "__in", "__start", "__size")
-
-
 def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """``(source, share, cap, have, docs, quota)`` of each usable source; as many rows as targets has."""
     have = sized.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.count(F.lit(1)).alias("docs"))
@@ -75,15 +62,17 @@ def mix(docs: DataFrame, targets: DataFrame, path: str | None = None, seed: int
     # shuffled order within a pass: pass first, then the hash; the cell is the pass and the hash's range
     share = (F.col("h") / F.lit(2.0**64)) + 0.5
     cell = F.col("copy") * 1_000_000 + F.least(F.floor(share * ranges), ranges - 1)
-    placed = running(copies, ["source"], [F.col("h"), F.col("doc_id")], cell, F.col("n_tokens"))
+    placed = running(copies, cell, [F.col("h"), F.col("doc_id")], {"__before": F.col("n_tokens")}, ["source"])
     kept = placed.where(F.col("__before") + F.col("n_tokens") / 2 <= F.col("quota"))
     kept = kept.withColumn("block", F.floor(F.col("__before") / BLOCK)).select("source", "block", F.col("__before").alias("place"), "doc_id", "copy", "n_tokens")
 
     slots = schedule(quota)
-    last = slots.groupBy("source").agg((F.max("block") + 1).alias("n"), F.max("slot").alias("end"))
-    out = kept.join(slots, ["source", "block"], "left").join(F.broadcast(last), "source", "left")
-    # blocks beyond a source's last slot follow behind the schedule
-    late = F.coalesce("end", F.lit(0)) + 1 + F.col("block") - F.coalesce("n", F.lit(0))
+    # blocks beyond a source's last slot follow behind the schedule, in turns, so that no slot has two sources
+    sources = quota.select("source", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("source")).alias("turn"))
+    last = sources.join(slots.groupBy("source").agg((F.max("block") + 1).alias("n")), "source", "left")
+    turns, total = quota.agg(F.count(F.lit(1)), F.coalesce(F.sum("quota"), F.lit(0))).first()
+    out = kept.join(slots, ["source", "block"], "left").join(F.broadcast(last) if turns <= 10_000 else last, "source", "left")
+    late = -(-int(total) // BLOCK) + (F.col("block") - F.coalesce("n", F.lit(0))) * turns + F.col("turn") - 1
     return out.select(F.coalesce("slot", late).cast("long").alias("slot"), "place", "source", "doc_id", "copy", "n_tokens")
 
 
@@ -100,12 +89,12 @@ def schedule(quota: DataFrame) -> DataFrame:
     if not n:
         return spark.createDataFrame([], "slot long, source string, block long")
     point = (F.col("slot") * F.lit(GOLDEN)) % 1.0
-    source = F.lit(bounds[-1][0])
-    for name, low, high in reversed(bounds[:-1]):
-        source = F.when(point < high, F.lit(name)).otherwise(source)
+    # the bounds are one list, and the source is the first whose interval ends beyond the point
+    passed = F.size(F.filter(F.lit([high for _, _, high in bounds[:-1]]) if len(bounds) > 1 else F.array().cast("array<double>"), lambda high: high <= point))
+    source = F.get(F.lit([name for name, _, _ in bounds]), passed)
     slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("source", source)
-    ranked = running(slots, ["source"], [F.col("slot")], F.floor(F.col("slot") / RANGE), F.lit(1))
-    return ranked.select("slot", "source", F.col("__before").cast("long").alias("block"))
+    ranked = running(slots, F.floor(F.col("slot") / RANGE), [F.col("slot")], {"block": F.lit(1)}, ["source"])
+    return ranked.select("slot", "source", F.col("block").cast("long").alias("block"))
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -65,6 +65,10 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p7_decode(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.decode_column(p7_ids(spark, d), "doc_id")
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -83,7 +87,7 @@ def p9_posteriors(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_people, p2_found, p2_restored, p3_found, p3_search, p5_found, p5_clean, p6_found, p6_links, p7_ids, p8_mix, p8_shares, p9_found, p9_posteriors)
+    f.__name__: f for f in (p1_found, p1_people, p2_found, p2_restored, p3_found, p3_search, p5_found, p5_clean, p6_found, p6_links, p7_ids, p7_decode, p8_mix, p8_shares, p9_found, p9_posteriors)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"p7_decode": "select doc_id, coalesce(text, '') as text from documents"}

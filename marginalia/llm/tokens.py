@@ -127,6 +127,18 @@ def encode_column(docs: DataFrame, key: str, column: str, path: str | None = Non
     return rows.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in (key, *keep)] + ["ids array<int>"]))
 
 
+def decode_column(encoded: DataFrame, key: str, column: str = "ids", path: str | None = None) -> DataFrame:
+    """``(key, text)`` of each row of ids; an empty or null list gives ``''``."""
+    strings = encoded.sparkSession.sparkContext.broadcast({i: s for s, i in load_ranks(path).items()})
+    rows = encoded.select(key, F.col(column).alias("__ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode(x or [], strings.value) for x in b.column(1).to_pylist()], pa.string())], names=[key, "text"])
+
+    return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, text string")
+
+
 def count_tokens(docs: DataFrame, key: str, column: str, keep: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
     """``(key, *keep, n_tokens)`` of each row of docs."""
     return encode_column(docs, key, column, path, keep).select(key, *keep, F.size("ids").cast("long").alias("n_tokens"))

@@ -361,6 +361,7 @@ def test_tokens_equal_the_public_library_and_come_back(spark):
         text = TEXTS[r.doc_id] or ""
         assert r.ids == tk.encode(text, add_special_tokens=False).ids
         assert tokens.decode(r.ids, strings) == text
+    assert {(r.doc_id, r.text) for r in tokens.decode_column(tokens.encode_column(df, "doc_id", "text"), "doc_id").collect()} == {(i, t or "") for i, t in enumerate(TEXTS)}
     assert tokens.encode_column(df.limit(0), "doc_id", "text").count() == 0
 
 
@@ -379,6 +380,7 @@ def test_mix_meets_shares_and_caps(spark):
     assert mixed.groupBy("doc_id", "copy").count().where("count > 1").count() == 0
     assert mixed.select("slot", "place", "source").distinct().count() == mixed.count()
     assert {x.source for x in mixed.select("source").distinct().collect()} == {"big", "small"}
+    assert mixed.groupBy("slot").agg(F.count_distinct("source").alias("n")).where("n > 1").count() == 0
     assert mixing.mix(docs.limit(0), targets).count() == 0 and mixing.mix(docs, targets.limit(0)).count() == 0
 
 
