@@ -111,9 +111,10 @@ def seeded_shuffle(s, d):
     return catalogue.shuffled(table(s, d, "catalogue").select("id"), "id").select("id", F.col("pos").cast("long").alias("pos"))
 
 
-@query("with p as (select id, row_number() over (order by md5('42:' || id), id) - 1 as pos from catalogue) select (pos - 50) // 100 as round, count(*) as n, min(id) as first_id from p where pos >= 50 and pos < 550 group by 1")
+@query("with p as (select id, row_number() over (order by md5('42:' || id), id) - 1 as pos from catalogue) select pos // 100 as round, count(*) as n, min(id) as first_id from p group by 1")
 def batch_windows(s, d):
-    placed = catalogue.windows(catalogue.shuffled(table(s, d, "catalogue").select("id"), "id"), 50, 550, 100)
+    ids = table(s, d, "catalogue").select("id")
+    placed = catalogue.windows(catalogue.shuffled(ids, "id"), 0, ids.count(), 100)
     return placed.groupBy(F.col("round").cast("long").alias("round")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
