@@ -47,6 +47,8 @@ ROUNDS = 3
 LABELS = 20_000
 #: Smoothing of the counts, weight of unlabelled sentences, sharpness, and how sure a telling sentence is.
 ALPHA, UNLABELLED, SHARP, SURE = 0.05, 0.5, 1.0, 0.8
+#: Smoothing of the counts that give evidence: a word seen once by chance is to say little there.
+CAUTIOUS = 0.5
 #: Share of the labelled documents whose evidence may lie below what a document needs to have a subject.
 EDGE = 0.005
 THRESHOLD = 0.5
@@ -94,10 +96,10 @@ def features(docs: DataFrame) -> DataFrame:
     return spread(docs.select("doc_id", "labels", "text")).mapInArrow(run, "doc_id long, labels array<string>, sizes array<int>, places array<int>")
 
 
-def weights(counts: np.ndarray) -> np.ndarray:
+def weights(counts: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
     """Complement naive Bayes: for each place and subject, how unlikely it is among the other subjects, centred over subjects."""
     other = counts.sum(1, keepdims=True) - counts
-    w = -np.log((other + ALPHA) / (other.sum(0, keepdims=True) + ALPHA * len(counts)))
+    w = -np.log((other + alpha) / (other.sum(0, keepdims=True) + alpha * len(counts)))
     return (w - w.mean(1, keepdims=True)).astype(np.float32)
 
 
@@ -248,7 +250,7 @@ def subjects(docs: DataFrame, kinds: DataFrame, labels: DataFrame, rounds: int =
                 start[p, c] += 1.0
     halves = [feats.where(F.col("labels").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == h)) for h in (0, 1)]
     given = [_count(h, None, names) for h in halves]
-    others = [weights(start + given[1]), weights(start + given[0])]
+    others = [weights(start + given[1], CAUTIOUS), weights(start + given[0], CAUTIOUS)]
     # what chance has tied to a subject stands in one half only, and counts half here; what is telling stands in both
     first = (others[0] + others[1]) / 2
 
@@ -261,7 +263,8 @@ def subjects(docs: DataFrame, kinds: DataFrame, labels: DataFrame, rounds: int =
             m.destroy(True)
         return out
 
-    alone = sample_of(others)
+    early = [weights(start + given[1]), weights(start + given[0])]
+    alone = sample_of(early)
     least = float(alone["evidence"].quantile(EDGE, interpolation="lower")) if len(alone) else 0.0
     counts = start + given[0] + given[1]
     for _ in range(rounds):
@@ -269,7 +272,7 @@ def subjects(docs: DataFrame, kinds: DataFrame, labels: DataFrame, rounds: int =
         counts = start + _count(feats, last, names, first, least)
     w = weights(counts)
     # the last round once more for each half, to take its own counts out again
-    sample = sample_of([weights(np.maximum(counts - _count(h, last, names, first, least), 0.0)) for h in halves] if rounds else others)
+    sample = sample_of([weights(np.maximum(counts - _count(h, last, names, first, least), 0.0)) for h in halves] if rounds else early)
     judged = shares(feats, spark.sparkContext.broadcast((w, first)), len(names)).where((F.col("telling") > 0) & (F.col("evidence") >= least))
     share = np.array(sample["share"].tolist()).reshape(len(sample), len(names))
     truth = np.array([[1.0 if s in set(x) else 0.0 for s in names] for x in sample["labels"]]).reshape(len(sample), len(names))
