@@ -312,6 +312,22 @@ def test_entries_without_title_and_with_one_author_are_linked_where_nothing_else
     assert got[2].confidence < 0.5
 
 
+def test_entries_without_title_meet_all_works_of_their_names(spark):
+    # Usual and Common have several works each, and one together; Hot has 40 with others, of 40 years
+    arts = [("u1", None, "On rest one", "Ada Usual"), ("u2", None, "On rest two", "Ada Usual"), ("c1", None, "On rest three", "Cora Common"), ("c2", None, "On rest four", "Cora Common"), ("j", "A. Usual, C. Common. On rest five. 2003-01-01", "On rest five", "Ada Usual, Cora Common")]
+    arts += [(f"h{i:02}", f"H. Hot, M. Mate{chr(97 + i % 26)}{chr(97 + i // 26)}x. On work. {1960 + i}-01-01", f"On work {i}", f"Hal Hot, Mo Mate{chr(97 + i % 26)}{chr(97 + i // 26)}x") for i in range(40)]
+    df = spark.createDataFrame(arts, "id string, info string, title string, authors string")
+    rows = [(1, None, "A. Usual, C. Common, J. Wave Stud. 1, 2.", "Usual", None), (2, None, "A. Usual, C. Common, J. Wave Stud. 1, 2 (1990).", "Usual", None), (3, None, None, "Usual", "u2"), (4, None, None, "Hot", "h07"), (5, None, None, "Hot", None)]
+    refs = spark.createDataFrame(rows, "ref_id long, title string, info string, author_ln string, target_id string")
+    scored = linkage.candidates(refs, df)
+    got = {k: [(r.c_key, r.copies, r.holds, r.far_year) for r in scored.collect() if r.e_key == k] for k in range(1, 6)}
+    assert got[1] == [("j", 1, False, 0.0)] and got[2] == [("j", 1, False, 1.0)]
+    assert got[3] == [("j", 3, True, 0.0)]  # u1, u2 and j fit equally well
+    assert got[4] == [("h00", 40, True, 0.0)] and got[5] == [("h00", 40, False, 0.0)]
+    links = {r.ref_id: r for r in linkage.link(refs, df).collect()}
+    assert set(links) == {1, 2, 3, 4, 5} and links[1]["id"] == "j" and links[5].confidence <= 1 / 40
+
+
 def test_titles_of_common_words_are_linked(spark):
     words = ["granular", "packing", "pairing", "coupled", "datasets", "turbulent", "lattice", "spectra"]
     arts = [(f"a{i}", None, " ".join(w for w in words if w != x), None) for i, x in enumerate(words)]
