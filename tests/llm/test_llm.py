@@ -257,6 +257,28 @@ def test_line_blocks_drop_short_runs(spark):
     assert len(out) == 4
 
 
+def test_runs_of_page_furniture_fall_away_at_the_ends(spark):
+    link = lambda x: f'<a href="/{x}">{x}</a>'
+    menu = "<nav class='top'>Home<br>News<br>\n<ul><li>About</li></ul></nav>"
+    cases = {
+        f"{menu}<p>First text.</p><p>Last text.</p><footer>Imprint<br/>Terms<br/>Privacy</footer>": "First text.\n\nLast text.",
+        f"{link('a')}\n{link('b')} | {link('c')}\n{link('d')}\nThe text.\n{link('e')}": "The text.\ne",  # one line is no run
+        f"The text.\n<ul><li>{link('a')}</li><li>{link('b')}</li><li>{link('c')}</li></ul>": "The text.\n\n- a\n\n- b\n\n- c",
+        f"{link('a')}\n\n\n{link('b')}\n\nThe text.": "a\n\nb\n\nThe text.",
+        f"First.\n{link('a')}\n{link('b')}\n{link('c')}\nLast.": "First.\na\nb\nc\nLast.",
+        menu: "Home\nNews\n\n- About",
+        f"{link('a')}\n{link('b')}\n{link('c')}": "a\nb\nc",
+        f"The text.\n`x` {link('a')}\n`y` {link('b')}\n`z` {link('c')}": "The text.\n`x` a\n`y` b\n`z` c",
+        "<nav>Home<br>News<br>About\n\nnever closed": "Home\nNews\nAbout\n\nnever closed",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, t string")
+    got = {r.k: r for r in markup.clean(df, ["k"], "t").collect()}
+    for i, (t, want) in enumerate(cases.items()):
+        assert got[i].clean == want and got[i].residue, t
+    bare = df.select(markup.strip_markup(F.col("t")).alias("t")).where("t rlike '[\\ufdd0\\ufdd1]'")
+    assert bare.count() == 0
+
+
 # 6 linkage
 
 
